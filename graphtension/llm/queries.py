@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from graphtension.llm import mixing, urls
+from graphtension.llm import language, mixing, packing, toxicity, urls
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_packing": packing.op5_packing,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": urls.op10_url_filters,
 }
