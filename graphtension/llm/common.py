@@ -46,6 +46,20 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
             lo = hi
 
 
+def text_runs(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Rows of at most so many characters of ``text``, or one row, with their texts; null as empty."""
+    for batch in batches:
+        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+        lo = size = 0
+        for i, t in enumerate(texts):
+            if size and size + len(t) > chars:
+                yield batch.slice(lo, i - lo), texts[lo:i]
+                lo, size = i, 0
+            size += len(t)
+        if lo < len(texts):
+            yield batch.slice(lo), texts[lo:]
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)

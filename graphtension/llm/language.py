@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from graphtension.llm.common import table
+from graphtension.llm.common import table, text_runs
 
 #: About so many labelled documents of each language are learned from, chosen by hash.
 SAMPLE_PER_LANGUAGE = 2000
@@ -68,20 +68,6 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key, at, has
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows of at most SLICE_CHARS characters, or one row."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-        lo = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > SLICE_CHARS:
-                yield batch.slice(lo, i - lo), texts[lo:i]
-                lo, size = i, 0
-            size += len(t)
-        if lo < len(texts):
-            yield batch.slice(lo), texts[lo:]
-
-
 def _position(keys: np.ndarray, probe: int, bits: int) -> np.ndarray:
     h = keys * _MULT[probe]
     h ^= h >> np.uint64(29)
@@ -146,7 +132,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, limit: i
     sample = rows.join(F.broadcast(sizes), "lang").filter(u * F.col("n") < per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _runs(batches):
+        for batch, texts in text_runs(batches, SLICE_CHARS):
             names = batch.column(batch.schema.get_field_index("lang")).to_pylist()
             keys, at, _ = grams(texts)
             for lang in dict.fromkeys(names):
@@ -179,7 +165,7 @@ def identify(docs: DataFrame, bloom: BitSlicedBloom) -> DataFrame:
     rows = docs.drop("lang_pred", "score", "evidence")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _runs(batches):
+        for batch, texts in text_runs(batches, SLICE_CHARS):
             lang, score, evidence = held.value.predict(texts)
             cols = [*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(evidence, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score", "evidence"])

@@ -7,9 +7,12 @@ the fullest window is emitted and the piece opens a new one. What is open at the
 from __future__ import annotations
 
 import bisect
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,14 +21,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import table
+from graphtension.llm.common import table, text_runs
 from graphtension.session import materialize
 
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: So many partitions' open windows are merged together.
-MERGE_PARTITIONS = 32
+MERGE_PARTITIONS = 16
 #: Words whose ids a worker remembers, and the longest word that is remembered.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Characters of text tokenized at once.
+SLICE_CHARS = 1 << 20
+MARKS = ".,!?;:%&$#*"
+ODD = re.compile(r"<\||[\x1c-\x1f]")
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -33,38 +40,82 @@ PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_token
 class WordTokenizer:
     """A tokenizer that drops white space and never crosses it: ids of a text are those of its words in turn.
 
-    Ids of frequent words are remembered as bytes. Texts with characters at which that might not hold (added
-    tokens' brackets, combining marks at a word's start, separators that split() knows and the file doesn't) are
-    encoded whole.
+    Ids of words are remembered as bytes, and so are those of a word's letters, in lower case, without the marks
+    behind them. New letters of many texts go to the library in one call; the tokens that end a word part them. Texts
+    with added tokens' brackets, or separators that split() alone knows, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.whole(text)
-        words, seen = text.split(), self.seen
-        try:
-            return b"".join([seen[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in seen})
-        if len(seen) + len(new) > CACHE_WORDS:
-            seen.clear()
-            new = list(set(words))
-        short = [w for w in new if len(w) <= CACHE_CHARS]
-        local = {w: self.whole(w) for w in new if len(w) > CACHE_CHARS}
-        for w, e in zip(short, self.tok.encode_batch(short, add_special_tokens=False), strict=True):
-            seen[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([seen[w] if w in seen else local[w] for w in words])
+    def _learn_parts(self, parts: list[str]) -> None:
+        """Parts are runs of letters, or of marks: one run is one word to the tokenizer."""
+        ids = np.array(self.tok.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts):
+            self.parts.update((p, self.whole(p)) for p in parts)
+            return
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        self.parts.update(zip(parts, [raw[x:y] for x, y in zip(at, at[1:])], strict=False))  # noqa: RUF007
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new words; those too long to remember are returned."""
+        split, odd = [], []
+        for w in new:
+            if w.isalpha():
+                core, tail = w, ""
+            else:
+                core = w.rstrip(MARKS)
+                tail = w[len(core) :]
+                if not core.isalpha():
+                    odd.append(w)
+                    continue
+            if max(core) >= "\u0130" or len(w) > CACHE_CHARS:
+                odd.append(w)
+            else:
+                split.append((w, core.lower(), tail))
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
+        fresh = {c for _, c, _ in split} | {t for _, _, t in split if t}
+        fresh = [p for p in fresh if p not in self.parts]
+        if fresh:
+            self._learn_parts(fresh)
+        parts = self.parts
+        if len(self.seen) + len(new) > CACHE_WORDS:
+            self.seen = {}
+        self.seen.update((w, parts[c] + parts[t] if t else parts[c]) for w, c, t in split)
+        once = {}
+        for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True) if odd else ():
+            (self.seen if len(w) <= CACHE_CHARS else once)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return once
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        apart = [bool(ODD.search(t)) for t in texts]
+        words = [[] if x else t.split() for t, x in zip(texts, apart, strict=True)]
+        every = set(chain.from_iterable(words))
+        seen, once = self.seen, {}
+        new = every - seen.keys()
+        if new:
+            if len(seen) + len(new) > CACHE_WORDS:
+                new = every
+            once = self._learn(new)
+            seen = self.seen
+        if once:
+            seen = {w: once[w] if w in once else seen[w] for w in every}
+        get = seen.__getitem__
+        return [self.whole(t) if x else b"".join(map(get, w)) for t, x, w in zip(texts, apart, words, strict=True)]
 
 
 @dataclass
@@ -119,11 +170,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         tok, packer, out = WordTokenizer(tokenizer), Packer(window, open_windows), []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tok.ids(text.as_py() or "") + end
-                n = len(ids) // 4
-                view = memoryview(ids)
+        for batch, texts in text_runs(batches, SLICE_CHARS):
+            for doc, ids in zip(batch.column(0).to_pylist(), tok.ids(texts), strict=True):
+                ids += end  # noqa: PLW2901
+                n, view = len(ids) // 4, memoryview(ids)
                 for start in range(0, n, window):
                     size = min(window, n - start)
                     w, offset, _ = packer.place(size)

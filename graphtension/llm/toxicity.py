@@ -156,13 +156,16 @@ def _counter(col: str, only: frozenset[str] | None = None):
     return run
 
 
-def train(labelled: DataFrame, exceptions: list[str] | None = None, sample: int = SAMPLE_LABELS) -> Lexicon:
-    """Learn from rows (doc_id, text, toxic 0/1); null labels are passed over. Bounded by ``sample`` rows.
+def train(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = None, sample: int = SAMPLE_LABELS) -> Lexicon:
+    """Learn from ``docs`` (doc_id, text) with ``labels`` (doc_id, toxic 0/1); null labels are passed over.
+
+    At most ``sample`` labels are taken, so they are small enough for all executors and texts need no shuffle.
 
     Phrases of an entry and the word beside it that clean documents have, and toxic ones don't, become exceptions;
     ``exceptions`` adds more.
     """
-    rows = labelled.filter("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    chosen = labels.filter("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")
     rows = rows.persist()
     try:
         sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -273,5 +276,5 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    lexicon = train(docs.join(labels.filter(remainder(5) != 0), "doc_id"))
+    lexicon = train(docs, labels.filter(remainder(5) != 0))
     return score(docs, lexicon).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
