@@ -12,7 +12,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -27,22 +26,22 @@ from graphtension.session import materialize
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: So many partitions' open windows are merged together.
 MERGE_PARTITIONS = 16
-#: Words whose ids a worker remembers, and the longest word that is remembered.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
-#: Characters of text tokenized at once.
-SLICE_CHARS = 1 << 20
-MARKS = ".,!?;:%&$#*"
-ODD = re.compile(r"<\||[\x1c-\x1f]")
+#: Words, and runs, whose ids a worker remembers; characters of text tokenized at once.
+CACHE_WORDS, SLICE_CHARS = 500_000, 1 << 20
+#: Texts of these characters part into these runs: Latin letters up to U+012F, whose lower case is one letter each.
+PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f]*").fullmatch
+RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f]+|[0-9]|[^\\sa-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f]+").findall
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
 class WordTokenizer:
-    """A tokenizer that drops white space and never crosses it: ids of a text are those of its words in turn.
+    """A tokenizer that drops white space and parts a text into runs of letters, single digits and runs of marks.
 
-    Ids of words are remembered as bytes, and so are those of a word's letters, in lower case, without the marks
-    behind them. New letters of many texts go to the library in one call; the tokens that end a word part them. Texts
-    with added tokens' brackets, or separators that split() alone knows, are encoded whole.
+    White space never lies in a run, so the ids of a text are those of its words in turn, and those of a word are
+    those of its runs. Both are remembered, as bytes. New runs of many texts go to the library in one call; the
+    tokens that end a run part them. Texts with characters for which the same runs aren't certain (PLAIN tells) are
+    encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,62 +59,45 @@ class WordTokenizer:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_parts(self, parts: list[str]) -> None:
-        """Parts are runs of letters, or of marks: one run is one word to the tokenizer."""
         ids = np.array(self.tok.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(parts):
             self.parts.update((p, self.whole(p)) for p in parts)
             return
         raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        self.parts.update(zip(parts, [raw[x:y] for x, y in zip(at, at[1:])], strict=False))  # noqa: RUF007
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of new words; those too long to remember are returned."""
-        split, odd = [], []
-        for w in new:
-            if w.isalpha():
-                core, tail = w, ""
-            else:
-                core = w.rstrip(MARKS)
-                tail = w[len(core) :]
-                if not core.isalpha():
-                    odd.append(w)
-                    continue
-            if max(core) >= "\u0130" or len(w) > CACHE_CHARS:
-                odd.append(w)
-            else:
-                split.append((w, core.lower(), tail))
+        self.parts.update(zip(parts, [raw[x:y] for x, y in zip(at, at[1:])], strict=True))  # noqa: RUF007
+
+    def _learn(self, words: list[str]) -> None:
         if len(self.parts) > CACHE_WORDS:
             self.parts = {}
-        fresh = {c for _, c, _ in split} | {t for _, _, t in split if t}
-        fresh = [p for p in fresh if p not in self.parts]
-        if fresh:
-            self._learn_parts(fresh)
-        parts = self.parts
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen = {}
-        self.seen.update((w, parts[c] + parts[t] if t else parts[c]) for w, c, t in split)
-        once = {}
-        for w, e in zip(odd, self.tok.encode_batch(odd, add_special_tokens=False), strict=True) if odd else ():
-            (self.seen if len(w) <= CACHE_CHARS else once)[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return once
+        runs, parts = [RUNS(w) for w in words], self.parts
+        new = [p for p in set().union(*runs) if p not in parts]
+        for lo in range(0, len(new), 10_000):
+            self._learn_parts(new[lo : lo + 10_000])
+        self.seen.update((w, parts[r[0]] if len(r) == 1 else b"".join([parts[p] for p in r])) for w, r in zip(words, runs, strict=True))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        apart = [bool(ODD.search(t)) for t in texts]
-        words = [[] if x else t.split() for t, x in zip(texts, apart, strict=True)]
-        every = set(chain.from_iterable(words))
-        seen, once = self.seen, {}
-        new = every - seen.keys()
+        words = [t.lower().split() if PLAIN(t) and "<|" not in t else None for t in texts]
+        every = set().union(*[w for w in words if w])
+        if len(self.seen) > CACHE_WORDS:
+            self.seen = {}
+        seen = self.seen
+        new = [w for w in every if w not in seen]
         if new:
-            if len(seen) + len(new) > CACHE_WORDS:
-                new = every
-            once = self._learn(new)
-            seen = self.seen
-        if once:
-            seen = {w: once[w] if w in once else seen[w] for w in every}
+            self._learn(new)
         get = seen.__getitem__
-        return [self.whole(t) if x else b"".join(map(get, w)) for t, x, w in zip(texts, apart, words, strict=True)]
+        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+
+
+_HELD: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, which runs many tasks."""
+    if path not in _HELD:
+        _HELD[path] = WordTokenizer(path)
+    return _HELD[path]
 
 
 @dataclass
@@ -169,7 +151,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        tok, packer, out = WordTokenizer(tokenizer), Packer(window, open_windows), []
+        tok, packer, out = word_tokenizer(tokenizer), Packer(window, open_windows), []
         for batch, texts in text_runs(batches, SLICE_CHARS):
             for doc, ids in zip(batch.column(0).to_pylist(), tok.ids(texts), strict=True):
                 ids += end  # noqa: PLW2901
