@@ -134,6 +134,54 @@ def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndar
     return mix((run[i + k] - run[i]) * inv[i] + np.uint64(k)), at
 
 
+#: Values gathered for documents in a task: packed rows of a bucket of documents, then one row for each document.
+PACKED = pa.schema([("kind", pa.int8()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
+PACKED_SQL = "kind tinyint, bucket int, ids binary, counts binary, keys binary, doc_id bigint, n_words bigint, sha string"
+
+
+def packed_rows(docs: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of kind 1: for a bucket of documents their ids, how many values each has, and the values."""
+    bucket = (mix(docs.astype(np.int64).view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((docs, bucket))
+    bucket, docs, values = bucket[order], docs[order], values[order]
+    names, rows = np.unique(bucket), []
+    for b, lo, hi in zip(names.tolist(), np.searchsorted(bucket, names), np.searchsorted(bucket, names, "right"), strict=True):
+        d, n = np.unique(docs[lo:hi], return_counts=True)
+        rows.append((1, b, d.astype("<i8").tobytes(), n.astype("<u4").tobytes(), values[lo:hi].tobytes(), None, None, None))
+    cols = zip(*rows, strict=True) if rows else [[] for _ in PACKED]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACKED, strict=True)], schema=PACKED)
+
+
+def by_document(packed: DataFrame, dtype: str) -> DataFrame:
+    """(doc_id, vals): packed rows of all tasks, one row for each document; a task holds a bucket at a time."""
+    schema = pa.schema([("doc_id", pa.int64()), ("vals", pa.binary())])
+
+    def close(rows: list[tuple]) -> pa.RecordBatch:
+        docs = np.concatenate([np.repeat(np.frombuffer(i, "<i8"), np.frombuffer(n, "<u4")) for i, n, _ in rows])
+        vals = np.concatenate([np.frombuffer(v, dtype) for _, _, v in rows])
+        order = np.argsort(docs, kind="stable")
+        docs, raw = docs[order], vals[order].tobytes()
+        names, at = np.unique(docs, return_index=True)
+        step = vals.dtype.itemsize
+        ends = np.append(at[1:], len(docs)) * step
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([raw[x:y] for x, y in zip((at * step).tolist(), ends.tolist(), strict=True)], pa.binary())], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for b, *row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if b != key:
+                    if rows:
+                        yield close(rows)
+                    key, rows = b, []
+                rows.append(tuple(row))
+        if rows:
+            yield close(rows)
+
+    rows = packed.filter("kind = 1").select("bucket", "ids", "counts", "keys")
+    return rows.repartition(n_parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, vals binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the links (a, b) reaches.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import n_parts, slices, table, window_hashes, word_bounds, word_hashes
+from graphtension.llm.common import PACKED, PACKED_SQL, by_document, n_parts, packed_rows, slices, table, window_hashes, word_hashes
 from graphtension.session import materialize
 
 WINDOW = 50
@@ -31,8 +31,8 @@ FREQUENT = 64
 
 _STEP1 = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 STEP1 = "bucket int, kind tinyint, ids binary, counts binary, keys binary, refs binary, doc_id bigint, n_words bigint, sha string"
-_HITS = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("keys", pa.binary())])
-HITS = "kind tinyint, doc_id bigint, n_words bigint, sha string, keys binary"
+#: Values that a task gathers before it packs them.
+GATHERED = 2_000_000
 
 
 def bucket_bits(spark: SparkSession) -> int:
@@ -78,7 +78,6 @@ def _anchors(window: int, bits: int):
         for rows, data, off in slices(batches):
             ids = rows.column(0)
             words, first = word_hashes(data, off)
-            starts, ends, _ = word_bounds(data, off)
             raw = data.tobytes()
             about, use = [], []
             for i in range(rows.num_rows):
@@ -151,31 +150,40 @@ def _full(rest: np.ndarray, bucket: int, bits: int) -> np.ndarray:
     return (np.uint64(bucket) << np.uint64(64 - bits)) | (rest.astype(np.uint64) << np.uint64(32 - bits))
 
 
-def _by_doc(ids: bytes, counts: bytes, keep: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """The kept values of each document of a row."""
-    n = np.frombuffer(counts, "<u4").astype(np.int64)
-    ends = np.cumsum(n)
-    kept = np.concatenate([[0], np.cumsum(keep)])
-    picked = values[keep].tobytes()
-    step = values.dtype.itemsize
-    for doc, lo, hi in zip(np.frombuffer(ids, "<i8").tolist(), kept[ends - n].tolist(), kept[ends].tolist(), strict=True):
-        if hi > lo:
-            yield doc, picked[lo * step : hi * step]
+class _Gathered:
+    """(document, value) pairs on their way to packed rows."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.docs, self.vals, self.size = bits, [], [], 0
+
+    def add(self, docs: np.ndarray, vals: np.ndarray) -> None:
+        if len(docs):
+            self.docs.append(docs)
+            self.vals.append(vals)
+            self.size += len(docs)
+
+    def rows(self) -> pa.RecordBatch:
+        out = packed_rows(np.concatenate(self.docs), np.concatenate(self.vals), self.bits)
+        self.docs, self.vals, self.size = [], [], 0
+        return out
+
+
+def _docs_of(row: dict) -> np.ndarray:
+    return np.repeat(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["counts"], "<u4"))
 
 
 def _probe(bits: int):
     """Bucket rows to hits: keys that are a block somewhere and that two documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        about, got = [], _Gathered(bits)
         for bucket, rows in _runs(batches):
             if bucket < 0:
                 row = rows[0]
                 if row["kind"] == 2:
-                    out.append((2, row["doc_id"], row["n_words"], row["sha"], None))
+                    about.append((2, None, None, None, None, row["doc_id"], row["n_words"], row["sha"]))
                 else:
-                    keys = _full(np.frombuffer(row["keys"], "<u4"), row["bucket"], bits)
-                    out += [(1, doc, None, None, k) for doc, k in _by_doc(row["ids"], row["counts"], np.ones(len(keys), bool), keys)]
+                    got.add(_docs_of(row), _full(np.frombuffer(row["keys"], "<u4"), row["bucket"], bits))
             else:
                 every = [np.frombuffer(r["keys"], "<u4") for r in rows]
                 value, n = np.unique(np.concatenate(every), return_counts=True)
@@ -183,12 +191,17 @@ def _probe(bits: int):
                 hits = np.intersect1d(value[n > 1], refs, assume_unique=True)
                 for r, keys in zip(rows, every, strict=True):
                     keep = np.isin(keys, hits)
-                    out += [(1, doc, None, None, k) for doc, k in _by_doc(r["ids"], r["counts"], keep, _full(keys, bucket, bits))]
-            if len(out) >= 20_000:
-                yield _told(out, _HITS)
-                out = []
-        if out:
-            yield _told(out, _HITS)
+                    if keep.any():
+                        got.add(_docs_of(r)[keep], _full(keys[keep], bucket, bits))
+            if len(about) >= 20_000:
+                yield _told(about, PACKED)
+                about = []
+            if got.size >= GATHERED:
+                yield got.rows()
+        if about:
+            yield _told(about, PACKED)
+        if got.size:
+            yield got.rows()
 
     return run
 
@@ -199,7 +212,6 @@ def _told(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 _WINDOWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("doc_id", pa.int64())])
 WINDOWS = "bucket int, kind tinyint, ids binary, counts binary, keys binary, places binary, doc_id bigint"
-_PLACES = pa.schema([("doc_id", pa.int64()), ("places", pa.binary())])
 
 
 def _candidates(window: int, bits: int):
@@ -216,7 +228,7 @@ def _candidates(window: int, bits: int):
             hits = rows.column(rows.schema.get_field_index("hits")).to_pylist()
             ids = rows.column(0).to_pylist()
             for i, doc in enumerate(ids):
-                mine = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for h in hits[i]]))
+                mine = np.unique(np.frombuffer(hits[i], np.uint64))
                 spots = np.isin(blocks[at[i] : at[i + 1]] & keep, mine)
                 n = int(wat[i + 1] - wat[i])
                 # a window begins at most window - block words before the block that it covers
@@ -266,30 +278,28 @@ def _window_rows(doc: np.ndarray, key: np.ndarray, place: np.ndarray, bits: int,
     return rows
 
 
-def _first_of_all():
-    """Bucket rows to (document, places): windows that a document with a smaller id has."""
+def _first_of_all(bits: int):
+    """Bucket rows to places of windows that a document with a smaller id has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
+        got = _Gathered(bits)
         for bucket, rows in _runs(batches):
             if bucket < 0:
-                out.append((rows[0]["doc_id"], rows[0]["places"]))
+                places = np.frombuffer(rows[0]["places"], "<u4")
+                got.add(np.full(len(places), rows[0]["doc_id"]), places)
             else:
                 keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
-                docs = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+                docs = np.concatenate([_docs_of(r) for r in rows])
+                places = np.concatenate([np.frombuffer(r["places"], "<u4") for r in rows])
                 value, at = np.unique(keys, return_inverse=True)
                 least = np.full(len(value), np.iinfo(np.int64).max)
                 np.minimum.at(least, at, docs)
-                gone, lo = docs > least[at], 0
-                for r in rows:
-                    places = np.frombuffer(r["places"], "<u4")
-                    out += list(_by_doc(r["ids"], r["counts"], gone[lo : lo + len(places)], places))
-                    lo += len(places)
-            if len(out) >= 20_000:
-                yield _told(out, _PLACES)
-                out = []
-        if out:
-            yield _told(out, _PLACES)
+                gone = docs > least[at]
+                got.add(docs[gone], places[gone])
+            if got.size >= GATHERED:
+                yield got.rows()
+        if got.size:
+            yield got.rows()
 
     return run
 
@@ -306,7 +316,7 @@ def _cut(window: int):
             for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                begin = np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in places])).astype(np.int64)
+                begin = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, np.minimum(begin + window, len(words)), -1)
                 gone = np.cumsum(cover[:-1]) > 0
@@ -334,17 +344,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     bits, docs = bucket_bits(spark), _ints(docs)
     sent = docs.mapInArrow(_anchors(window, bits), STEP1)
     spread = F.when(F.col("kind") == 0, F.col("bucket").cast("bigint")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    found = materialize(sent.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(_probe(bits), HITS), "anchors")
+    found = materialize(sent.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(_probe(bits), PACKED_SQL), "anchors")
     about = found.filter("kind = 2").select("doc_id", "n_words", "sha")
     firsts = about.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha", "n_words").agg(F.min("doc_id").alias("first"))
     about = materialize(about.join(firsts, ["sha", "n_words"], "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("whole")), "about")
     partial = about.filter(~F.col("whole")).select("doc_id").distinct()
-    hits = found.filter("kind = 1").groupBy("doc_id").agg(F.collect_list("keys").alias("hits")).join(partial, "doc_id", "left_semi")
+    hits = by_document(found, "<u8").withColumnRenamed("vals", "hits").join(partial, "doc_id", "left_semi")
     near = docs.join(hits, "doc_id")
     asked = near.mapInArrow(_candidates(window, bits), WINDOWS)
     spread = F.when(F.col("kind") == 0, F.col("bucket").cast("bigint")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    gone = materialize(asked.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(_first_of_all(), "doc_id bigint, places binary"), "places")
-    places = gone.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    gone = materialize(asked.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(_first_of_all(bits), PACKED_SQL), "places")
+    places = by_document(gone, "<u4").withColumnRenamed("vals", "places")
     cut = docs.join(places, "doc_id").mapInArrow(_cut(window), "doc_id bigint, n_removed bigint, kept string")
     return about, cut
 
