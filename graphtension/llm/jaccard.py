@@ -2,7 +2,8 @@
 
 Exact: no pair at or above the threshold is lost, and only such pairs link. Equal sets become one. A pair that links
 shares one of the smallest hashes of both sets, a prefix whose length the threshold gives; sets that share such a hash
-with another meet in that hash's block. In a block, a tree's nodes hold the OR of their sets' token bitmaps and their
+with another meet in that hash's block. The prefix is kept longer than that, by as many hashes again as may be missing:
+then a pair that links shares many, and a set that shares too few of them, a passage's perhaps, is left out early. In a block, a tree's nodes hold the OR of their sets' token bitmaps and their
 range of sizes; the tree is walked against itself, and a pair of nodes is dropped if the largest overlap that bitmaps
 and sizes allow is below the least that the threshold asks.
 
@@ -21,17 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import components, mix, n_parts, slices, table, window_hashes, word_hashes
+from graphtension.llm.common import PACKED_SQL, by_document, components, mix, n_parts, packed_rows, slices, table, window_hashes, word_hashes
 from graphtension.llm.substrings import bucket_bits
-from graphtension.session import materialize
+from graphtension.session import discard, materialize
 
 #: Sets and shingles that a block of copies holds; sets in a part of an exact block.
 BLOCK_SETS, BLOCK_SHINGLES, PART = 3000, 600_000, 4096
 FANOUT = 8
 #: Bits of a bitmap: a power of two, at least four for each shingle, within these.
 LEAST_BITS, MOST_BITS = 256, 1 << 16
-#: In a first look, so many pairs of two components are tried.
-FIRST_PAIRS = 4
+#: In a first look, so many pairs of two components in one cell are tried; more only if that leaves some open.
+FIRST_PAIRS = 64
 
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.binary()), ("bits", pa.binary())])
 FEATURES = "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix binary, bits binary"
@@ -66,6 +67,18 @@ def _fold(b: np.ndarray, words: int) -> np.ndarray:
     return b
 
 
+def least(n: int, num: int, den: int) -> int:
+    """How many of its prefix's hashes a set of n shares with every set it links to: its prefix has so many more
+    than may be missing. A set may link to smaller ones, whose prefixes are shorter."""
+    return max(1, n - -(-num * n // den))
+
+
+def needed(n: str, num: int, den: int):
+    """The same over a column, for the smallest set that one of n may link to."""
+    small = F.ceil(F.col(n) * num / den - F.lit(1e-9))
+    return F.greatest(F.lit(1), small - F.ceil(small * num / den - F.lit(1e-9))).cast("bigint")
+
+
 def features(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, found in sets(batches, k):
@@ -73,7 +86,7 @@ def features(k: int, num: int, den: int):
             for doc, s in zip(rows.column(0).to_pylist(), found, strict=True):
                 n = len(s)
                 a, b = mix(s), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                cut = n - -(-num * n // den) + 1 if n else 0
+                cut = least(n, num, den) + n - -(-num * n // den) if n else 0
                 out.append((doc, n, int(a.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(b).astype(np.int64)) if n else 0, s[:cut].tobytes(), _bitmap(s, _width(n)).tobytes() if n else b""))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _FEATURES, strict=True)], schema=_FEATURES)
 
@@ -115,40 +128,48 @@ def _send(bits: int, least: int = 1_000_000):
     return run
 
 
-def _shared():
-    """Bucket rows to (doc_id, tokens): the hashes that another set has too."""
-    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def _shared(bits: int):
+    """Bucket rows to packed rows of the hashes that another set has too."""
+
+    def close(bucket: int, rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
+        docs = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+        order = np.argsort(keys, kind="stable")
+        k, d = keys[order], docs[order]
+        same = np.zeros(len(k), bool)
+        same[1:] = k[1:] == k[:-1]
+        same[:-1] |= same[1:].copy()
+        return d[same], (np.uint64(bucket) << np.uint64(32)) | k[same].astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-            keys = np.concatenate([np.frombuffer(r["keys"], "<u4") for r in rows])
-            docs = np.concatenate([np.repeat(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["counts"], "<u4")) for r in rows])
-            order = np.argsort(keys, kind="stable")
-            k, d = keys[order], docs[order]
-            same = np.zeros(len(k), bool)
-            same[1:] = k[1:] == k[:-1]
-            same[:-1] |= same[1:].copy()
-            k, d = k[same], d[same]
-            order = np.lexsort((k, d))
-            k, d = k[order], d[order]
-            full = ((np.uint64(bucket) << np.uint64(32)) | k.astype(np.uint64)).astype(np.int64)
-            names, at = np.unique(d, return_index=True)
-            return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(np.append(at, len(d)).astype(np.int32)), pa.array(full))], schema=schema)
-
-        key, rows = None, []
+        key, rows, got = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != key:
                     if rows:
-                        yield close(key, rows)
+                        got.append(close(key, rows))
                     key, rows = row["bucket"], []
+                    if sum(len(d) for d, _ in got) > 2_000_000:
+                        yield packed_rows(np.concatenate([d for d, _ in got]), np.concatenate([k for _, k in got]), bits)
+                        got = []
                 rows.append(row)
         if rows:
-            yield close(key, rows)
+            got.append(close(key, rows))
+        if got:
+            yield packed_rows(np.concatenate([d for d, _ in got]), np.concatenate([k for _, k in got]), bits)
 
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed hashes of each set as a sorted array."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    for batch in batches:
+        vals = [np.sort(np.frombuffer(v.as_py(), "<i8")) for v in batch.column(1)]
+        at = np.concatenate([[0], np.cumsum([len(v) for v in vals])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(vals) if vals else [], pa.int64()))], schema=schema)
+
+
 # signature trees
 
 
@@ -218,7 +239,8 @@ def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _linked(docs: list[int], found: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A forest of links among sets; pairs that the forest connects already aren't compared.
+    """What links connect among sets, as pairs of a component's smallest id with each other one; pairs that are
+    connected already aren't compared.
 
     Gives up on a block in which hardly any pair links: the exact step looks at what isn't connected.
     """
@@ -233,10 +255,10 @@ def _linked(docs: list[int], found: list[np.ndarray], num: int, den: int) -> lis
             a = up[a]
         return a
 
-    forest, failed = [], 0
+    failed, found_any = 0, False
 
     def tried(pairs: Iterator[tuple[int, int]]) -> None:
-        nonlocal failed
+        nonlocal failed, found_any
         for x, y in pairs:
             a, b = int(order[x]), int(order[y])
             ra, rb = root(a), root(b)
@@ -244,7 +266,7 @@ def _linked(docs: list[int], found: list[np.ndarray], num: int, den: int) -> lis
                 continue
             if similar(found[a], found[b], num, den):
                 up[max(ra, rb)] = min(ra, rb)
-                forest.append((docs[a], docs[b]))
+                found_any = True
             else:
                 failed += 1
 
@@ -258,7 +280,12 @@ def _linked(docs: list[int], found: list[np.ndarray], num: int, den: int) -> lis
             tried(zip(i[ok].tolist(), j[ok].tolist(), strict=True))
             if failed > 20 * len(docs):
                 break
-    return forest
+    if not found_any:
+        return []
+    least_of: dict[int, int] = {}
+    for i, d in enumerate(docs):
+        least_of[root(i)] = min(d, least_of.get(root(i), d))
+    return [(least_of[root(i)], d) for i, d in enumerate(docs) if d != least_of[root(i)]]
 
 
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -304,12 +331,16 @@ _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
 def _candidates(num: int, den: int, first: int | None):
     """Cells (token, cls, i, j) of sets to pairs of different components that may be similar."""
 
-    def close(cell: tuple, rows: list[dict]) -> list[tuple[int, int, bool]]:
-        rows.sort(key=lambda r: (r["n"], r["doc_id"]))
-        narrow = min(len(r["bits"]) for r in rows) // 8
-        bits = np.stack([_fold(np.frombuffer(r["bits"], np.uint64), narrow) for r in rows])
-        n, c = np.array([r["n"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.int64)
-        guest, h = np.array([r["guest"] for r in rows]), np.array([r["h"] for r in rows])
+    def close(cell: tuple, rows: pa.RecordBatch) -> list[tuple[int, int, bool]]:
+        doc, c, n = (np.asarray(rows.column(i), np.int64) for i in (4, 5, 6))
+        if len(doc) < 2 or c.min() == c.max():
+            return []
+        guest, h = rows.column(7).to_numpy(zero_copy_only=False).astype(bool), np.asarray(rows.column(8), np.int64)
+        raw = rows.column(9).to_pylist()
+        narrow = min(map(len, raw)) // 8
+        order = np.lexsort((doc, n))
+        bits = np.stack([_fold(np.frombuffer(raw[i], np.uint64), narrow) for i in order])
+        doc, c, n, guest, h = doc[order], c[order], n[order], guest[order], h[order]
         out, count = [], {}
         for i, j in SignatureTree(n, bits, c).pairs(num, den):
             ok = (c[i] != c[j]) & ~(guest[i] & guest[j])
@@ -319,32 +350,43 @@ def _candidates(num: int, den: int, first: int | None):
                 key = (min(c[x], c[y]), max(c[x], c[y]))
                 seen = count[key] = count.get(key, 0) + 1
                 if first is None or seen <= first:
-                    a, b = rows[x]["doc_id"], rows[y]["doc_id"]
-                    out.append((min(a, b), max(a, b), False))
+                    out.append((int(min(doc[x], doc[y])), int(max(doc[x], doc[y])), False))
                 elif seen == first + 1:
-                    out.append((-1, -1, True))
+                    out.append((int(key[0]), int(key[1]), True))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], []
+        at, held, out = None, [], set()
 
         def told() -> pa.RecordBatch:
             cols = zip(*out, strict=True) if out else ([], [], [])
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _PAIR, strict=True)], schema=_PAIR)
 
+        def end() -> None:
+            rows = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            if rows.num_rows > 1:
+                out.update(close(at, rows))
+
         for batch in batches:
-            for row in batch.to_pylist():
-                cell = (row["token"], row["cls"], row["i"], row["j"])
+            keys = np.stack([np.asarray(batch.column(i), np.int64) for i in range(4)])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if hi <= lo:
+                    continue
+                cell = tuple(keys[:, lo].tolist())
                 if cell != at:
-                    if len(held) > 1:
-                        out += close(at, held)
+                    if held:
+                        end()
                     at, held = cell, []
-                held.append(row)
-            if out:
+                held.append(batch.slice(lo, hi - lo))
+            # a batch's rows aren't kept beyond it in pieces
+            held = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if len(held) > 1 else held
+            if len(out) > 200_000:
                 yield told()
-                out = []
-        if len(held) > 1:
-            out = close(at, held)
+                out = set()
+        if held:
+            end()
+        if out:
             yield told()
 
     return run
@@ -369,17 +411,44 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
     return materialize(both.mapInArrow(check, "a bigint, b bigint"), "links")
 
 
+def _undecided(told: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """(c): components that had more pairs between them than were tried, and aren't connected now."""
+    if told.isEmpty():
+        return None
+    comp = components(edges)
+    now = told.join(comp.withColumnsRenamed({"id": "a", "component": "x"}), "a", "left").join(comp.withColumnsRenamed({"id": "b", "component": "y"}), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")).filter("x <> y")
+    out = materialize(now.select(F.col("x").alias("c")).union(now.select("y")).distinct(), "undecided")
+    return None if out.isEmpty() else out
+
+
 def _labelled(tokens: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, tokens, n, c): sets with their component so far."""
     comp = components(edges).select(F.col("id").alias("doc_id"), F.col("component").alias("_c"))
     return tokens.join(comp, "doc_id", "left").withColumn("c", F.coalesce("_c", "doc_id")).drop("_c")
 
 
-def _open(state: DataFrame) -> DataFrame:
-    """(token, doc_id, c, n): hashes that sets of different components share."""
+def _open(state: DataFrame, num: int, den: int, rounds: int = 2) -> DataFrame:
+    """(token, doc_id, c, n): hashes that sets of different components share, of sets that share enough of them.
+
+    A set that goes may take the last company from a hash, so this is done again; once would do. A pair that links
+    shares at least ``needed`` of these hashes, so each set may leave out its last but one of so many in an order
+    that holds for all sets, and the pair's first shared hash stays on both sides: the most frequent hashes go.
+    """
     flat = state.select(F.explode("tokens").alias("token"), "doc_id", "c", "n")
-    apart = flat.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("token")
-    return flat.join(apart, "token", "left_semi")
+    held = None
+    for _ in range(rounds):
+        apart = flat.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("f")).filter("x < y").select("token", "f")
+        flat = flat.drop("f").join(apart, "token")
+        by_set = flat.groupBy("doc_id", "c", "n").agg(F.collect_list(F.struct("f", "token")).alias("ts")).filter(F.size("ts") >= needed("n", num, den))
+        by_set = materialize(by_set, "open")
+        if held is not None:
+            discard(held)
+        held = by_set
+        flat = by_set.select(F.explode("ts").alias("t"), "doc_id", "c", "n").select("t.token", "doc_id", "c", "n", "t.f")
+    keep = F.slice(F.sort_array("ts"), F.lit(1), F.size("ts") - needed("n", num, den).cast("int") + 1)
+    out = materialize(held.select(F.explode(keep).alias("t"), "doc_id", "c", "n").select("t.token", "doc_id", "c", "n"), "open")
+    discard(held)
+    return out
 
 
 def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -396,34 +465,43 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     held = materialize(docs.mapInArrow(features(k, num, den), FEATURES), "features")
-    about = held.select("doc_id", "n", "f1", "f2")
+    about = materialize(held.select("doc_id", "n", "f1", "f2"), "about")
     same = ["n", "f1", "f2"]
     first = about.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
     reps = held.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "prefix", "bits")
     reps = materialize(reps, "reps")
+    discard(held)
 
     bits = bucket_bits(spark)
     sent = reps.select("doc_id", "prefix").mapInArrow(_send(bits), "bucket int, ids binary, counts binary, keys binary")
-    shared = sent.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(), "doc_id bigint, tokens array<bigint>")
-    shared = materialize(shared, "shared")
-    tokens = shared.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens")).join(reps.select("doc_id", "n"), "doc_id")
-    tokens = materialize(tokens, "tokens")
+    shared = materialize(sent.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(bits), PACKED_SQL), "shared")
+    tokens = by_document(shared, "<u8").mapInArrow(_tokens, "doc_id bigint, tokens array<bigint>").join(reps.select("doc_id", "n", "bits"), "doc_id")
+    tokens = materialize(tokens.filter(F.size("tokens") >= needed("n", num, den)), "tokens")
+    discard(shared)
+    discard(reps)
 
     edges = _block_links(docs, tokens.select("doc_id", F.col("tokens")[0].alias("key"), "n"), k, num, den)
-    state = materialize(_labelled(tokens, edges), "state")
     # one set of each component, at the smallest hash that another component has
-    heads = _open(state).filter("doc_id = c").groupBy("doc_id", "n").agg(F.min("token").alias("key"))
+    apart = _open(_labelled(tokens, edges), num, den)
+    heads = apart.filter("doc_id = c").groupBy("doc_id", "n").agg(F.min("token").alias("key"))
     edges = materialize(edges.unionByName(_block_links(docs, heads.select("doc_id", "key", "n"), k, num, den)), "links")
+    discard(apart)
+    only = None
     for limit in (FIRST_PAIRS, None):
-        state = materialize(_labelled(tokens, edges), "state")
-        cells = _cells(_open(state), num, den).join(reps.select("doc_id", "bits"), "doc_id").select("token", "cls", "i", "j", "doc_id", "c", "n", "guest", "h", "bits")
+        state = _labelled(tokens, edges)
+        if only is not None:
+            state = state.join(only, "c", "left_semi")
+        apart = _open(state, num, den)
+        cells = _cells(apart, num, den).join(tokens.select("doc_id", "bits"), "doc_id").select("token", "cls", "i", "j", "doc_id", "c", "n", "guest", "h", "bits")
         cells = cells.repartition(n_parts(spark), "token", "cls", "i", "j").sortWithinPartitions("token", "cls", "i", "j")
         cand = materialize(cells.mapInArrow(_candidates(num, den, limit), "a bigint, b bigint, more boolean"), "candidates")
+        discard(apart)
         pairs = cand.filter("not more").select("a", "b").distinct()
         if pairs.isEmpty():
             break
         edges = materialize(edges.unionByName(_verified(docs, pairs, k, num, den)), "links")
-        if cand.filter("more").isEmpty():
+        only = _undecided(cand.filter("more").select("a", "b").distinct(), edges)
+        if only is None:
             break
     comp = components(edges)
     groups = first.join(comp, first.rep == comp.id, "left").select(*same, F.coalesce("component", "rep").alias("g"))
