@@ -53,8 +53,9 @@ def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
             break
         steps.append(at.select("conv", F.col("node").alias("from"), "up").filter("up is not null"))
         over = at.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("len").alias("l2"))
-        at = at.join(over, ["conv", "up"], "left").select("conv", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("s2", F.lit(0.0))).alias("sum"), (F.col("len") + F.coalesce("l2", F.lit(0))).alias("len"))
-        at = materialize(at, "tree")
+        # only messages that don't point past their root yet are joined
+        moved = at.filter("up is not null").join(over, ["conv", "up"]).select("conv", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("s2")).alias("sum"), (F.col("len") + F.col("l2")).alias("len"))
+        at = materialize(moved.unionByName(at.filter("up is null")), "tree")
     parents = first.filter("up is not null").select("conv", F.col("up").alias("node")).distinct()
     leaves = at.filter("up is null").join(parents, ["conv", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv").orderBy(F.desc("sum"), F.desc("len"), "node"))

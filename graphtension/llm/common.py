@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.session import materialize
+from graphtension.session import discard, materialize
 
 #: Text handled at once by a Python worker; longer texts are handled one by one.
 SLICE_BYTES = 1 << 20
@@ -191,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = materialize(both, "links")
     lab = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c"))
-    lab = materialize(lab, "labels")
+    held = lab = materialize(lab, "labels")
     while True:
         near = both.join(lab, both.b == lab.id).groupBy("a").agg(F.min("c").alias("m"))
         # a label may learn from those that carry it, so that chains fold up quickly
@@ -201,7 +201,10 @@ def components(edges: DataFrame) -> DataFrame:
         jump = step.select(F.col("id").alias("m"), F.col("m").alias("mm"))
         nxt = step.join(jump, "m", "left").select("id", F.col("c").alias("old"), F.least("m", F.coalesce("mm", "m")).alias("c"))
         nxt = materialize(nxt, "labels")
+        discard(held)
+        held = nxt
         changed = nxt.filter("old <> c").limit(1).count()
         lab = nxt.select("id", "c")
         if not changed:
+            discard(both)
             return lab.select("id", F.col("c").alias("component"))
