@@ -165,6 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
                 out = []
         # rows of windows that stay open can't be told apart before the end; the last row names them
         out += [(None, -1, w, 0, 0, w, 0, part) for w in sorted(packer.open())]
+        tok.seen = {}  # the worker's next task may need the memory; runs stay known
         yield _rows(out, schema)
 
     told = materialize(rows.mapInArrow(run, PIECE + ", part bigint"), "pieces")

@@ -25,14 +25,14 @@ from graphtension.session import materialize
 
 WINDOW = 50
 #: Windows that a task settles together before it sends them.
-GROUP_WINDOWS = 1_500_000
+GROUP_WINDOWS = 750_000
 #: A window that so many of a task's documents have is a hit for all of them; one of them tells the others' tasks.
 FREQUENT = 64
 
 _STEP1 = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
 STEP1 = "bucket int, kind tinyint, ids binary, counts binary, keys binary, refs binary, doc_id bigint, n_words bigint, sha string"
 #: Values that a task gathers before it packs them.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 
 
 def bucket_bits(spark: SparkSession) -> int:
