@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import PACKED_SQL, by_document, components, mix, n_parts, packed_rows, slices, table, window_hashes, word_hashes
+from graphtension.llm.common import PACKED_SQL, by_document, components, lean, mix, n_parts, packed_rows, slices, table, window_hashes, word_hashes
 from graphtension.llm.substrings import bucket_bits
 from graphtension.session import discard, materialize
 
@@ -322,7 +322,7 @@ def _block_links(docs: DataFrame, members: DataFrame, k: int, num: int, den: int
         if len(ids) > 1:
             yield _edges(_linked(ids, held, num, den))
 
-    return materialize(rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    return materialize(rows.mapInArrow(lean(run), "a bigint, b bigint"), "links")
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.bool_())])
@@ -400,7 +400,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
         for rows, found in sets(batches, k):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "s"])
 
-    held = materialize(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(whole, "doc_id bigint, s binary"), "sets")
+    held = materialize(docs.join(ids, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(lean(whole), "doc_id bigint, s binary"), "sets")
     both = pairs.join(held.withColumnsRenamed({"doc_id": "a", "s": "sa"}), "a").join(held.withColumnsRenamed({"doc_id": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,7 +408,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) ->
             ok = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return materialize(both.mapInArrow(check, "a bigint, b bigint"), "links")
+    return materialize(both.mapInArrow(lean(check), "a bigint, b bigint"), "links")
 
 
 def _undecided(told: DataFrame, edges: DataFrame) -> DataFrame | None:
@@ -464,7 +464,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = materialize(docs.mapInArrow(features(k, num, den), FEATURES), "features")
+    held = materialize(docs.mapInArrow(lean(features(k, num, den)), FEATURES), "features")
     about = materialize(held.select("doc_id", "n", "f1", "f2"), "about")
     same = ["n", "f1", "f2"]
     first = about.filter("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
@@ -473,9 +473,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     discard(held)
 
     bits = bucket_bits(spark)
-    sent = reps.select("doc_id", "prefix").mapInArrow(_send(bits), "bucket int, ids binary, counts binary, keys binary")
-    shared = materialize(sent.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(bits), PACKED_SQL), "shared")
-    tokens = by_document(shared, "<u8").mapInArrow(_tokens, "doc_id bigint, tokens array<bigint>").join(reps.select("doc_id", "n", "bits"), "doc_id")
+    sent = reps.select("doc_id", "prefix").mapInArrow(lean(_send(bits)), "bucket int, ids binary, counts binary, keys binary")
+    shared = materialize(sent.repartition(n_parts(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_shared(bits)), PACKED_SQL), "shared")
+    tokens = by_document(shared, "<u8").mapInArrow(lean(_tokens), "doc_id bigint, tokens array<bigint>").join(reps.select("doc_id", "n", "bits"), "doc_id")
     tokens = materialize(tokens.filter(F.size("tokens") >= needed("n", num, den)), "tokens")
     discard(shared)
     discard(reps)
@@ -494,7 +494,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         apart = _open(state, num, den)
         cells = _cells(apart, num, den).join(tokens.select("doc_id", "bits"), "doc_id").select("token", "cls", "i", "j", "doc_id", "c", "n", "guest", "h", "bits")
         cells = cells.repartition(n_parts(spark), "token", "cls", "i", "j").sortWithinPartitions("token", "cls", "i", "j")
-        cand = materialize(cells.mapInArrow(_candidates(num, den, limit), "a bigint, b bigint, more boolean"), "candidates")
+        cand = materialize(cells.mapInArrow(lean(_candidates(num, den, limit)), "a bigint, b bigint, more boolean"), "candidates")
         discard(apart)
         pairs = cand.filter("not more").select("a", "b").distinct()
         if pairs.isEmpty():

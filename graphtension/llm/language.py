@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from graphtension.llm.common import table, text_runs
+from graphtension.llm.common import lean, table, text_runs
 
 #: About so many labelled documents of each language are learned from, chosen by hash.
 SAMPLE_PER_LANGUAGE = 2000
@@ -141,7 +141,7 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, limit: i
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"lang": lang, "gram": k.astype(np.int64), "n": n.astype(np.int64)}), schema=out, preserve_index=False)
 
     out = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-    sums = sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(lean(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     part = sums.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     typical = part.withColumn("top", F.max("p").over(Window.partitionBy("gram"))).filter((F.col("p") >= TYPICAL * F.col("top")) & (F.col("n") > 1))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, bloom: BitSlicedBloom) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "lang_pred", "score", "evidence"])
 
     kind = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("evidence", DoubleType())])
-    return rows.mapInArrow(run, kind)
+    return rows.mapInArrow(lean(run), kind)
 
 
 def remainder(n: int) -> Column:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import table, text_runs
+from graphtension.llm.common import lean, table, text_runs
 from graphtension.session import materialize
 
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
         tok.seen = {}  # the worker's next task may need the memory; runs stay known
         yield _rows(out, schema)
 
-    told = materialize(rows.mapInArrow(run, PIECE + ", part bigint"), "pieces")
+    told = materialize(rows.mapInArrow(lean(run), PIECE + ", part bigint"), "pieces")
     key = F.col("part") * (1 << 33) + F.col("sequence_id")
     left = told.filter("start = -1").select("part", "sequence_id", F.lit(True).alias("left"))
     pieces = told.filter("start >= 0").join(left, ["part", "sequence_id"], "left")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import PACKED, PACKED_SQL, by_document, n_parts, packed_rows, slices, table, window_hashes, word_hashes
+from graphtension.llm.common import PACKED, PACKED_SQL, by_document, lean, n_parts, packed_rows, slices, table, window_hashes, word_hashes
 from graphtension.session import materialize
 
 WINDOW = 50
@@ -342,20 +342,20 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     """
     spark = docs.sparkSession
     bits, docs = bucket_bits(spark), _ints(docs)
-    sent = docs.mapInArrow(_anchors(window, bits), STEP1)
+    sent = docs.mapInArrow(lean(_anchors(window, bits)), STEP1)
     spread = F.when(F.col("kind") == 0, F.col("bucket").cast("bigint")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    found = materialize(sent.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(_probe(bits), PACKED_SQL), "anchors")
+    found = materialize(sent.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(lean(_probe(bits)), PACKED_SQL), "anchors")
     about = found.filter("kind = 2").select("doc_id", "n_words", "sha")
     firsts = about.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha", "n_words").agg(F.min("doc_id").alias("first"))
     about = materialize(about.join(firsts, ["sha", "n_words"], "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("whole")), "about")
     partial = about.filter(~F.col("whole")).select("doc_id").distinct()
     hits = by_document(found, "<u8").withColumnRenamed("vals", "hits").join(partial, "doc_id", "left_semi")
     near = docs.join(hits, "doc_id")
-    asked = near.mapInArrow(_candidates(window, bits), WINDOWS)
+    asked = near.mapInArrow(lean(_candidates(window, bits)), WINDOWS)
     spread = F.when(F.col("kind") == 0, F.col("bucket").cast("bigint")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    gone = materialize(asked.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(_first_of_all(bits), PACKED_SQL), "places")
+    gone = materialize(asked.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(lean(_first_of_all(bits)), PACKED_SQL), "places")
     places = by_document(gone, "<u4").withColumnRenamed("vals", "places")
-    cut = docs.join(places, "doc_id").mapInArrow(_cut(window), "doc_id bigint, n_removed bigint, kept string")
+    cut = docs.join(places, "doc_id").mapInArrow(lean(_cut(window)), "doc_id bigint, n_removed bigint, kept string")
     return about, cut
 
 
