@@ -26,11 +26,13 @@ from graphtension.session import materialize
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
 #: So many partitions' open windows are merged together.
 MERGE_PARTITIONS = 16
-#: Words, and runs, whose ids a worker remembers; characters of text tokenized at once.
-CACHE_WORDS, SLICE_CHARS = 500_000, 1 << 20
+#: Words and runs in one of the two tables of ids that a worker remembers; characters of text tokenized at once.
+CACHE_WORDS, SLICE_CHARS = 400_000, 1 << 18
 #: Texts of these characters part into these runs: Latin letters up to U+012F, whose lower case is one letter each.
 PLAIN = re.compile("[\\t\\n\\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f]*").fullmatch
 RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f]+|[0-9]|[^\\sa-z0-9\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f]+").findall
+#: Marks that are a run of their own behind letters; most words that aren't letters alone end in one.
+ENDS = frozenset(".,;:!?")
 
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -39,54 +41,62 @@ class WordTokenizer:
     """A tokenizer that drops white space and parts a text into runs of letters, single digits and runs of marks.
 
     White space never lies in a run, so the ids of a text are those of its words in turn, and those of a word are
-    those of its runs. Both are remembered, as bytes. New runs of many texts go to the library in one call; the
-    tokens that end a run part them. Texts with characters for which the same runs aren't certain (PLAIN tells) are
-    encoded whole.
+    those of its runs; a word of letters is one run. Words and runs are remembered as bytes, in a table that becomes
+    the old one when it is full: words that come again move to the new one, the others go with the old. New runs of
+    many texts go to the library in one call; the tokens that end a run part them. Texts with characters for which
+    the same runs aren't certain (PLAIN tells) are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        # the same model over runs that are found already: only white space parts them
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.seen: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Give back the older words."""
+        self.old = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
-    def _learn_parts(self, parts: list[str]) -> None:
-        ids = np.array(self.tok.encode(" ".join(parts), add_special_tokens=False).ids, dtype="<u4")
-        cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) != len(parts):
-            self.parts.update((p, self.whole(p)) for p in parts)
+    def _learn_runs(self, runs: list[str]) -> None:
+        raw = np.array(self.model.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+        cuts = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+        if len(cuts) != len(runs):
+            self.seen.update((r, self.whole(r)) for r in runs)
             return
-        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
-        self.parts.update(zip(parts, [raw[x:y] for x, y in zip(at, at[1:])], strict=True))  # noqa: RUF007
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {}
-        runs, parts = [RUNS(w) for w in words], self.parts
-        new = [p for p in set().union(*runs) if p not in parts]
+        at = [0, *(4 * cuts).tolist()]
+        self.seen.update(zip(runs, [raw[x:y] for x, y in zip(at, at[1:])], strict=True))  # noqa: RUF007
+
+    def _learn(self, words: set[str]) -> None:
+        mixed = {w: (w[:-1], w[-1]) if w[-1] in ENDS and w[:-1].isalpha() else RUNS(w) for w in words if not w.isalpha()}
+        new = list((words - mixed.keys()).union(*mixed.values()).difference(self.seen))
         for lo in range(0, len(new), 10_000):
-            self._learn_parts(new[lo : lo + 10_000])
-        self.seen.update((w, parts[r[0]] if len(r) == 1 else b"".join([parts[p] for p in r])) for w, r in zip(words, runs, strict=True))
+            self._learn_runs(new[lo : lo + 10_000])
+        get = self.seen.__getitem__
+        self.seen.update([(w, b"".join(map(get, runs))) for w, runs in mixed.items()])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         words = [t.lower().split() if PLAIN(t) and "<|" not in t else None for t in texts]
-        every = set().union(*[w for w in words if w])
         if len(self.seen) > CACHE_WORDS:
-            self.seen = {}
-        seen = self.seen
-        new = [w for w in every if w not in seen]
+            self.old, self.seen = self.seen, {}
+        new = set().union(*[w for w in words if w]).difference(self.seen)
+        known = self.old.keys() & new if self.old else ()
+        self.seen.update([(w, self.old[w]) for w in known])
+        new.difference_update(known)
         if new:
             self._learn(new)
-        get = seen.__getitem__
+        get = self.seen.__getitem__
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
@@ -165,7 +175,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
                 out = []
         # rows of windows that stay open can't be told apart before the end; the last row names them
         out += [(None, -1, w, 0, 0, w, 0, part) for w in sorted(packer.open())]
-        tok.seen = {}  # the worker's next task may need the memory; runs stay known
+        tok.forget()  # the worker's next task may need the memory
         yield _rows(out, schema)
 
     told = materialize(rows.mapInArrow(lean(run), PIECE + ", part bigint"), "pieces")
