@@ -27,3 +27,7 @@ class EngineRunning(GraphTensionError, RuntimeError):
 
 class EngineStopped(GraphTensionError, RuntimeError):
     """stop() was called on an engine that does not run."""
+
+
+class NotConverged(GraphTensionError, ArithmeticError):
+    """An iteration didn't reach its tolerance within its rounds."""

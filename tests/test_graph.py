@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from graphtension.config import Config
-from graphtension.errors import InvalidConfig, InvalidEvent, SnapshotClosed
+from graphtension.errors import InvalidConfig, InvalidEvent, NotConverged, SnapshotClosed
 from graphtension.operators import curvature, graph, hops, spectral, stats, temporal, tension
 from graphtension.plans.engine import Engine
 from graphtension.streaming import live
@@ -83,6 +83,21 @@ def test_curvature_and_spectrum(spark):
     assert (b.beta0, b.beta1) == (1, 2)
 
 
+def test_fiedler_value_of_a_large_graph_with_hubs(spark):
+    rng, n = np.random.default_rng(4), spectral.DENSE + 100
+    rows = [x for u in range(n) for t in range(3) for w in [float(rng.uniform(5, 15))] for x in ((f"u:{u}", f"t:{t}", w), (f"t:{t}", f"u:{u}", w))]
+    names = {v: i for i, v in enumerate(sorted({a for a, _, _ in rows}))}
+    lap = np.zeros((len(names), len(names)))
+    for a, b, w in rows:
+        lap[names[a], names[b]] = -w
+    np.fill_diagonal(lap, -lap.sum(axis=1))
+    e = edges(spark, rows)
+    assert spectral.fiedler_value(e).first().value == pytest.approx(np.linalg.eigvalsh(lap)[1], rel=1e-9)
+    with pytest.raises(NotConverged):
+        spectral._davidson(spectral._weighted(e), n + 3, 2, 1e-8)
+    assert spectral.fiedler_value(e.unionByName(edges(spark, both("AB")))).first().value == 0
+
+
 def test_concealment_grows_with_hops(spark):
     e = edges(spark, both("AB", "BC", "CD", "DE"))
     ids = spark.createDataFrame([("A",)], "id string")
