@@ -43,6 +43,21 @@ def in_neighbors(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("dst") == node).select(F.col("src").alias("id"))
 
 
+def co_occurrence(edges: DataFrame) -> DataFrame:
+    """(a, b, shared) for all pairs of sources a < b that share targets, and how many.
+
+    Targets are paired once for each group of sources with equal target sets (told by two 64-bit hashes and the
+    number), so a target that many alike sources share needs no pair expansion; then members take their group's rows.
+    """
+    e = edges.select("src", "dst").distinct()
+    group = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("dst")).alias("f1"), F.bit_xor(F.xxhash64("dst", F.lit(1))).alias("f2"))
+    first = group.groupBy("k", "f1", "f2").agg(F.min("src").alias("g"))
+    member = group.join(first, ["k", "f1", "f2"]).select("src", "g")
+    t = e.join(first.select(F.col("g").alias("src")), "src", "left_semi")
+    pairs = t.select(F.col("src").alias("g"), "dst").join(t.select(F.col("src").alias("h"), "dst"), "dst").groupBy("g", "h").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.join(member.select(F.col("src").alias("a"), "g"), "g").join(member.select(F.col("src").alias("b"), F.col("g").alias("h")), "h").filter("a < b").select("a", "b", "shared")
+
+
 def upsert_nodes(nodes: DataFrame) -> DataFrame:
     """Rows (id, type, last_seen, seq): the last write's type wins, even if empty; last_seen moves only if given."""
     return nodes.groupBy("id").agg(F.max_by(F.coalesce("type", F.lit("")), "seq").alias("type"), F.max_by("last_seen", F.when(F.col("last_seen").isNotNull(), F.col("seq"))).alias("last_seen"))

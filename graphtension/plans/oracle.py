@@ -169,6 +169,7 @@ UNION ALL SELECT s_suppkey, 's:' || s_suppkey, 'n:' || s_nationkey, 1.0, 'of', T
     "sniper_gap": w(*T2, NODES) + f"SELECT node_id, degree::BIGINT AS degree, round(CASE WHEN stddev_pop(tension) OVER w > 1e-9 THEN (tension - avg(tension) OVER w) / stddev_pop(tension) OVER w ELSE 0 END, 4) + 0.0 AS gap FROM tension JOIN nodes ON id = node_id WINDOW w AS (PARTITION BY degree)",
     "triage_score": w(*T2, NODES, "x AS (SELECT node_id, (tension - min(tension) OVER ()) / (max(tension) OVER () - min(tension) OVER ()) AS a, (degree - min(degree) OVER ()) / (max(degree) OVER () - min(degree) OVER ()) AS b FROM tension JOIN nodes ON id = node_id)") + f"SELECT node_id, {R.format('0.6 * a + 0.4 * b', 'score')} FROM x WHERE 0.6 * a + 0.4 * b >= 0.3",
     "co_occurrence_edges": w(EV2, EDGES, "t AS (SELECT src, dst FROM edges WHERE src LIKE 't:%')") + "SELECT a.src AS a, b.src AS b, count(DISTINCT a.dst) AS shared FROM t a JOIN t b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2",
+    "co_occurrence_all": w(EV2, EDGES) + "SELECT a.src AS a, b.src AS b, count(DISTINCT a.dst) AS shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2",
     "betti": w(*N2, UND) + "SELECT 1::BIGINT AS beta0, ((SELECT count(*) FROM und WHERE v < n) - (SELECT count(*) FROM nodes) + 1)::BIGINT AS beta1",
     "pre_post_windows": w(EV2, "m AS (SELECT seq AS id, src, ts FROM ev WHERE src LIKE 'u:%' AND type = 'error')") + f"SELECT m.id, {R.format('avg(e.weight) FILTER (e.ts < m.ts)', 'pre')}, {R.format('avg(e.weight) FILTER (e.ts > m.ts)', 'post')} FROM m LEFT JOIN ev e ON e.src = m.src AND e.ts >= m.ts - INTERVAL 86400 SECOND AND e.ts <= m.ts + INTERVAL 86400 SECOND GROUP BY m.id",
 }

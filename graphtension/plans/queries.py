@@ -248,6 +248,11 @@ def co_occurrence_edges(s, d):
     return a.join(b, "dst").filter("a < b").groupBy("a", "b").agg(F.count_distinct("dst").alias("shared"))
 
 
+@query
+def co_occurrence_all(s, d):
+    return graph.co_occurrence(e2(s, d))
+
+
 @query
 def betti(s, d):
     return hops.betti(e2(s, d))

@@ -83,6 +83,16 @@ def test_curvature_and_spectrum(spark):
     assert (b.beta0, b.beta1) == (1, 2)
 
 
+def test_co_occurrence_is_brute_force(spark):
+    rows = [(f"u:{u}", f"t:{t}", 1) for u in range(12) for t in range(4) if u % 3 == t % 3 or u == 5 or t == 1] + [("t:1", "u:1", 1), ("t:2", "u:1", 1), ("u:1", "u:1", 1)]
+    sets = {}
+    for a, b, _ in rows:
+        sets.setdefault(a, set()).add(b)
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = graph.co_occurrence(edges(spark, rows)).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
+
+
 def test_fiedler_value_of_a_large_graph_with_hubs(spark):
     rng, n = np.random.default_rng(4), spectral.DENSE + 100
     rows = [x for u in range(n) for t in range(3) for w in [float(rng.uniform(5, 15))] for x in ((f"u:{u}", f"t:{t}", w), (f"t:{t}", f"u:{u}", w))]
