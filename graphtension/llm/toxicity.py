@@ -178,15 +178,13 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
         only = frozenset(r.gram for r in cand)
         clean = rows.filter("toxic <> 1").mapInArrow(_counter("gram", only), gram).groupBy("gram").agg(F.sum("c").alias("c")).collect()
         lex = Lexicon(_entries({r.gram: r.t for r in cand}, {r.gram: r.c for r in clean}, n_t, n_c))
-        # of the sample, numbers and phrases beside entries only
+        # of the sample, only numbers and the phrases that become exceptions come to the driver
         kind = "toxic int, mass double, words int, phrases array<string>"
-        found = rows.mapInPandas(_masses(lex), kind).collect()
-        seen_t, seen_c = Counter(), Counter()
-        for r in found:
-            (seen_t if r.toxic == 1 else seen_c).update(set(r.phrases))
-        lex.exceptions = sorted([p for p, n in seen_c.items() if n >= 3 and not seen_t[p]] + [_SPACES.sub(" ", fold(x)) for x in exceptions or []])
-        if lex.exceptions:
-            found = rows.mapInPandas(_masses(lex), kind).collect()
+        told = lambda: rows.mapInPandas(_masses(lex), kind)
+        beside = told().select("toxic", F.explode("phrases").alias("phrase")).groupBy("phrase")
+        spared = beside.agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") != 1).alias("c")).filter("c >= 3 and t = 0")
+        lex.exceptions = sorted([r.phrase for r in spared.select("phrase").collect()] + [_SPACES.sub(" ", fold(x)) for x in exceptions or []])
+        found = told().select("toxic", "mass", "words").collect()
         mass, words = np.array([r.mass for r in found]), np.array([r.words for r in found])
         toxic = np.array([r.toxic == 1 for r in found])
         fits = [(_best_cut(mass / (words + LENGTH_FLOOR) ** p, toxic), p) for p in POWERS]
@@ -214,7 +212,7 @@ def _masses(lex: Lexicon):
                             near.add(f[lo : word_end + 1])
                         if nxt > 0:
                             near.add(f[end - n + 1 : nxt + 1])
-                phrases.append(sorted(near)[:50])
+                phrases.append(sorted(near))
             yield pd.DataFrame({"toxic": pdf.toxic, "mass": [m for m, _ in told], "words": [n for _, n in told], "phrases": phrases})
 
     return run

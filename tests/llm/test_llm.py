@@ -190,6 +190,14 @@ def test_toxicity(spark):
     assert toxicity.score(docs(spark, probe), empty).filter("score > 0").count() == 0
 
 
+def test_toxicity_sees_all_phrases_of_long_texts(spark):
+    """More than fifty phrases stand beside entries, and those that tell come last by the alphabet."""
+    many = " ".join(f"a{x}{y} vermin" for x in "bcdefghj" for y in "bcdefghj")
+    rows = [(i, f"{many} zed") for i in range(50)] + [(i, f"w{i} vermin zed" if i < 53 else f"{many} yaw" if i < 56 else f"plain words {i}") for i in range(50, 200)]
+    lex = toxicity.train(docs(spark, rows), spark.createDataFrame([(i, int(i < 50)) for i, _ in rows], "doc_id bigint, toxic int"))
+    assert " vermin zed " not in lex.exceptions and " vermin yaw " in lex.exceptions
+
+
 VEC = "vec_id bigint, embedding array<float>, label int"
 
 
