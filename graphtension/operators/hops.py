@@ -35,18 +35,22 @@ def concealment(edges: DataFrame, tension: DataFrame, sources: DataFrame, lam: f
     return j.groupBy(F.col("source").alias("node_id")).agg(F.sum(F.col("tension") * F.exp(-F.lit(float(lam)) * F.col("hop"))).alias("concealment"))
 
 
-def levels(edges: DataFrame, start: str, depth: int = 64) -> DataFrame:
-    """(id, hop) of everything reachable from one node, until no new node appears."""
+def levels(edges: DataFrame, start: str) -> DataFrame:
+    """(id, hop) of everything reachable from one node, until no new node appears.
+
+    A neighbour of a level is in it, the one before or the next, so only two levels are taken from a step.
+    """
     adj = materialize(undirected(edges), "adjacency")
-    seen = adj.filter(F.col("v") == start).select(F.col("v").alias("id")).distinct().withColumn("hop", F.lit(0))
-    frontier = seen
-    for d in range(1, depth + 1):
+    seen = frontier = adj.filter(F.col("v") == start).select(F.col("v").alias("id")).distinct().withColumn("hop", F.lit(0))
+    before, d = frontier.limit(0), 0
+    while True:
+        d += 1
         step = frontier.join(adj, frontier.id == adj.v).select(F.col("n").alias("id")).distinct()
-        frontier = materialize(step.join(seen, "id", "left_anti").withColumn("hop", F.lit(d)), "frontier")
+        new = step.join(frontier.unionByName(before).select("id"), "id", "left_anti").withColumn("hop", F.lit(d))
+        before, frontier = frontier, materialize(new, "frontier")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
 
 
 def fiedler_approx(edges: DataFrame) -> DataFrame:

@@ -83,6 +83,11 @@ def test_curvature_and_spectrum(spark):
     assert (b.beta0, b.beta1) == (1, 2)
 
 
+def test_levels_go_to_the_end_of_a_chain(spark):
+    far = hops.levels(edges(spark, [(f"{i:03}", f"{i + 1:03}", 1) for i in range(66)]), "000")
+    assert {r.id: r.hop for r in far.collect()} == {f"{i:03}": i for i in range(67)}
+
+
 def test_co_occurrence_is_brute_force(spark):
     rows = [(f"u:{u}", f"t:{t}", 1) for u in range(12) for t in range(4) if u % 3 == t % 3 or u == 5 or t == 1] + [("t:1", "u:1", 1), ("t:2", "u:1", 1), ("u:1", "u:1", 1)]
     sets = {}
