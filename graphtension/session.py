@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphtension.errors import InvalidConfig
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where none is named (tests)."""
+    """The shared folder that the cluster names. Where none is named, a local session (tests) gets one of its own; on a
+    cluster executors would each write to their own disk, so InvalidConfig is raised."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir", None)
     if there:
@@ -17,11 +23,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise InvalidConfig("name a folder that all machines share in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="graphtension-")
     sc.setCheckpointDir(own)
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+_LOCK, _WRITERS = threading.Lock(), {}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While any writer of the session is in here, shuffles are freed after their query; then the setting returns."""
+    key = id(spark)
+    with _LOCK:
+        n, before = _WRITERS.get(key, (0, None))
+        if not n:
+            before = spark.conf.get(_CLEAN, None)
+            spark.conf.set(_CLEAN, "true")
+        _WRITERS[key] = (n + 1, before)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITERS.pop(key)
+            if n > 1:
+                _WRITERS[key] = (n - 1, before)
+            elif before is not None:
+                spark.conf.set(_CLEAN, before)
+            else:
+                spark.conf.unset(_CLEAN)
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: a cut in the lineage that outlives executors.
 
@@ -29,13 +64,8 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
