@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,8 +21,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def n_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Input that one shuffle partition of a pass over texts stands for, and the most partitions.
+PART_BYTES, MOST_PARTS = 32 << 20, 1 << 17
+
+
+def n_parts(rows: DataFrame) -> int:
+    """Shuffle partitions for a pass over ``rows``: the session's number, and more where the input is larger, as the
+    optimizer estimates it; an unknown size counts as none."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), MOST_PARTS) if size < 1 << 56 else 1)
+
+
+def unused(rows: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as make them differ from all columns of ``rows``."""
+    taken, out = {c.lower() for c in rows.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+        taken.add(n.lower())
+    return out
 
 
 def words_in(col: str) -> object:
@@ -80,30 +99,25 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """1, base, base^2, ... modulo 2^64, at least n of them."""
-    held = _POWERS.get(base)
-    if held is None or len(held) < n:
-        size = max(1024, 1 << int(n).bit_length())
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        held = _POWERS[base] = np.multiply.accumulate(p)
-    return held[:n]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+#: The bytes of a block of eight that belong to a word with so many bytes left.
+_TAKEN = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    """Finish a 64-bit hash so that every bit depends on all."""
+    """Finish a 64-bit hash so that every bit depends on all; one to one."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
+
+
+def hash_keys(n: int = 2) -> tuple[int, ...]:
+    """Keys of independent hashes, drawn anew by the driver for each run and sent with the code: nobody who writes a
+    text can know which words collide, and two hashes decide wherever a result depends on equality."""
+    return tuple(secrets.randbits(64) for _ in range(n))
 
 
 def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,35 +133,87 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word, and where each document's words begin."""
+def word_hashes(data: np.ndarray, off: np.ndarray, key: int, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A keyed 64-bit hash of each word, and where each document's words begin.
+
+    Each block of eight bytes is mixed with the key and its place in the word before blocks are added up, so no
+    arrangement of bytes cancels out; words of up to eight bytes never share a block's value.
+    """
     if lower:
         data = _LOWER[data]
     starts, ends, first = word_bounds(data, off)
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    # each byte's value times a power of its place in the word; white space adds nothing
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
     lens = ends - starts
-    flat = np.arange(int(lens.sum()), dtype=np.int64)
-    heads = np.cumsum(lens) - lens
-    place = flat - np.repeat(heads, lens)
-    val = _BYTE[data[place + np.repeat(starts, lens)]] * _powers(_BASE, int(lens.max()))[place]
-    return mix(np.add.reduceat(val, heads) + lens.astype(np.uint64) * np.uint64(_STEP)), first
+    places = mix(np.uint64(key) + np.arange(1, (int(lens.max()) + 15) // 8 + 1, dtype=np.uint64) * _STEP)
+    h = mix((eight[starts] & _TAKEN[np.minimum(lens, 8)]) ^ places[0])
+    long = np.flatnonzero(lens > 8)
+    if len(long):
+        more = (lens[long] - 1) // 8
+        heads = np.cumsum(more) - more
+        at = np.arange(int(more.sum())) - np.repeat(heads, more) + 1
+        left = np.repeat(lens[long], more) - 8 * at
+        h[long] += np.add.reduceat(mix((eight[np.repeat(starts[long], more) + 8 * at] & _TAKEN[np.minimum(left, 8)]) ^ places[at]), heads)
+    return mix(h + lens.astype(np.uint64) * _STEP), first
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0xD6E8FEB86659FD93) ^ (b + _STEP))
 
 
 def window_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of k words that lie in one document; where each document's windows begin."""
-    n = np.diff(first)
-    count = np.maximum(n - k + 1, 0)
+    """Hashes of all windows of k words that lie in one document; where each document's windows begin.
+
+    Runs of 1, 2, 4, ... words are joined pair by pair, each join mixed; a window is the runs that k's bits name.
+    """
+    count = np.maximum(np.diff(first) - k + 1, 0)
     at = np.concatenate([[0], np.cumsum(count)])
     if not at[-1]:
         return np.zeros(0, np.uint64), at
-    p = _powers(_STEP, len(words) + 1)
-    run = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * p[: len(words)], out=run[1:])
-    i = np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])
-    inv = _powers(pow(_STEP, -1, 2**64), len(words) + 1)
-    return mix((run[i + k] - run[i]) * inv[i] + np.uint64(k)), at
+    out, done, size, run = None, 0, 1, words
+    while True:
+        if k & size:
+            out = run if out is None else _join(out[: len(words) - done - size + 1], run[done:])
+            done += size
+        if 2 * size > k:
+            break
+        run = _join(run[:-size], run[size:])
+        size *= 2
+    return out[np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])], at
+
+
+#: What a task sends: rows of a bucket of hashes (kind 0), of values it has settled itself (1), about a document (2).
+SENT = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("extra", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
+SENT_SQL = "bucket int, kind tinyint, ids binary, counts binary, keys binary, extra binary, doc_id bigint, n_words bigint, sha string"
+
+
+def bucket_bits(parts: int) -> int:
+    """Twice as many buckets as shuffle partitions, at least 16: a power of two."""
+    return max(4, (2 * parts - 1).bit_length())
+
+
+def bucket_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of one bucket at a time, from rows sorted by bucket; rows of other kinds come one by one as bucket -1."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["kind"] != 0:
+                yield -1, [row]
+                continue
+            if row["bucket"] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row["bucket"], []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def told(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Tuples as a batch."""
+    cols = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 #: Values gathered for documents in a task: packed rows of a bucket of documents, then one row for each document.
@@ -164,11 +230,10 @@ def packed_rows(docs: np.ndarray, values: np.ndarray, bits: int) -> pa.RecordBat
     for b, lo, hi in zip(names.tolist(), np.searchsorted(bucket, names), np.searchsorted(bucket, names, "right"), strict=True):
         d, n = np.unique(docs[lo:hi], return_counts=True)
         rows.append((1, b, d.astype("<i8").tobytes(), n.astype("<u4").tobytes(), values[lo:hi].tobytes(), None, None, None))
-    cols = zip(*rows, strict=True) if rows else [[] for _ in PACKED]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACKED, strict=True)], schema=PACKED)
+    return told(rows, PACKED)
 
 
-def by_document(packed: DataFrame, dtype: str) -> DataFrame:
+def by_document(packed: DataFrame, dtype: str, parts: int) -> DataFrame:
     """(doc_id, vals): packed rows of all tasks, one row for each document; a task holds a bucket at a time."""
     schema = pa.schema([("doc_id", pa.int64()), ("vals", pa.binary())])
 
@@ -195,7 +260,7 @@ def by_document(packed: DataFrame, dtype: str) -> DataFrame:
             yield close(rows)
 
     rows = packed.filter("kind = 1").select("bucket", "ids", "counts", "keys")
-    return rows.repartition(n_parts(packed.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "doc_id bigint, vals binary")
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "doc_id bigint, vals binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,4 +288,6 @@ def components(edges: DataFrame) -> DataFrame:
         lab = nxt.select("id", "c")
         if not changed:
             discard(both)
-            return lab.select("id", F.col("c").alias("component"))
+            out = lab.select("id", F.col("c").alias("component"))
+            out._written = held._written  # so that discard() takes it
+            return out

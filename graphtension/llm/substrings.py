@@ -3,7 +3,8 @@
 Every document's words are cut into blocks that don't overlap; these are the index. Every rolling window of a block's
 length probes it. A window of twice the block's length that also stands in another document holds a whole block of
 that document, so a hit lies in it: only windows around hits are candidates, and hits grow to the maximal repeat as
-the windows around them are found to stand in a document with a smaller id.
+the windows around them are found to stand in a document with a smaller id. Two independent hashes of a window's words,
+under keys drawn for the run, must agree before a word goes.
 
 Hashes travel in bucket rows of packed bytes, each about a bucket's share of many documents: a few bytes a word. A
 task's documents are settled among themselves first (copies, windows that many of them have), so that frequent text
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import PACKED, PACKED_SQL, by_document, lean, n_parts, packed_rows, slices, table, window_hashes, word_hashes
-from graphtension.session import materialize
+from graphtension.llm.common import PACKED, PACKED_SQL, SENT, SENT_SQL, bucket_bits, bucket_runs, by_document, hash_keys, lean, n_parts, packed_rows, slices, table, told, unused, window_hashes, word_hashes
+from graphtension.session import discard, materialize
 
 WINDOW = 50
 #: Windows that a task settles together before it sends them.
@@ -29,17 +30,10 @@ GROUP_WINDOWS = 750_000
 #: A window that so many of a task's documents have is a hit for all of them; one of them tells the others' tasks.
 FREQUENT = 64
 
-_STEP1 = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("refs", pa.binary()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())])
-STEP1 = "bucket int, kind tinyint, ids binary, counts binary, keys binary, refs binary, doc_id bigint, n_words bigint, sha string"
 #: Values that a task gathers before it packs them.
 GATHERED = 1_000_000
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Twice as many buckets as shuffle partitions, at least 16: a power of two."""
-    return max(4, (2 * n_parts(spark) - 1).bit_length())
-
-
 def _pack(doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, bits: int, kind: int, refs: np.ndarray | None = None, width: str = "<u4") -> pa.RecordBatch:
     """Bucket rows of (document, key) pairs: the top bits name the bucket, the rest travels. Sorted by document."""
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -56,10 +50,10 @@ def _pack(doc: np.ndarray, ids: np.ndarray, keys: np.ndarray, bits: int, kind: i
             x, y = np.searchsorted(r_bucket, [b, b + 1])
             r = ((refs[x:y] << np.uint64(bits)) >> np.uint64(32)).astype("<u4").tobytes()
         rows.append((b, kind, ids[d].astype("<i8").tobytes(), n.astype("<u4").tobytes(), rest[lo:hi].astype(width).tobytes(), r, None, None, None))
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _STEP1, strict=True)], schema=_STEP1) if rows else pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _STEP1], schema=_STEP1)
+    return told(rows, SENT)
 
 
-def _anchors(window: int, bits: int):
+def _anchors(window: int, key: int, bits: int):
     """Documents to bucket rows (kind 0), hits settled here (kind 1), and a row about each document (kind 2)."""
     block = window // 2
 
@@ -76,18 +70,18 @@ def _anchors(window: int, bits: int):
             held, size, base, seen = [], 0, 0, {}
 
         for rows, data, off in slices(batches):
-            ids = rows.column(0)
-            words, first = word_hashes(data, off)
+            ids, tags = rows.column(0), rows.column(2)
+            words, first = word_hashes(data, off, key)
             raw = data.tobytes()
             about, use = [], []
             for i in range(rows.num_rows):
                 n = int(first[i + 1] - first[i])
                 sha = hashlib.sha256(b" ".join(raw[off[i] : off[i + 1]].split())).hexdigest()
-                about.append((0, 2, None, None, None, None, ids[i].as_py(), n, sha))
+                about.append((0, 2, None, None, None, None, ids[i].as_py(), n, f"{sha}:{tags[i].as_py()}"))
                 # a copy of a text that this task holds already adds nothing: the smallest id speaks for all
                 if n >= window and ids[i].as_py() is not None:
                     use.append((i, sha, ids[i].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*about, strict=True), _STEP1, strict=True)], schema=_STEP1)
+            yield told(about, SENT)
             keys, at = window_hashes(words, first, block)
             for i, sha, doc in use:
                 if sha in seen:
@@ -129,23 +123,6 @@ def _settle(ids: np.ndarray, docs: np.ndarray, keys: np.ndarray, is_ref: np.ndar
     yield _pack(d[send], ids, k[send], bits, 0, refs)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one bucket at a time, from rows sorted by bucket; rows of other kinds come one by one as bucket -1."""
-    key, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if row["kind"] != 0:
-                yield -1, [row]
-                continue
-            if row["bucket"] != key:
-                if rows:
-                    yield key, rows
-                key, rows = row["bucket"], []
-            rows.append(row)
-    if rows:
-        yield key, rows
-
-
 def _full(rest: np.ndarray, bucket: int, bits: int) -> np.ndarray:
     return (np.uint64(bucket) << np.uint64(64 - bits)) | (rest.astype(np.uint64) << np.uint64(32 - bits))
 
@@ -177,7 +154,7 @@ def _probe(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about, got = [], _Gathered(bits)
-        for bucket, rows in _runs(batches):
+        for bucket, rows in bucket_runs(batches):
             if bucket < 0:
                 row = rows[0]
                 if row["kind"] == 2:
@@ -187,34 +164,35 @@ def _probe(bits: int):
             else:
                 every = [np.frombuffer(r["keys"], "<u4") for r in rows]
                 value, n = np.unique(np.concatenate(every), return_counts=True)
-                refs = np.unique(np.concatenate([np.frombuffer(r["refs"], "<u4") for r in rows]))
+                refs = np.unique(np.concatenate([np.frombuffer(r["extra"], "<u4") for r in rows]))
                 hits = np.intersect1d(value[n > 1], refs, assume_unique=True)
                 for r, keys in zip(rows, every, strict=True):
                     keep = np.isin(keys, hits)
                     if keep.any():
                         got.add(_docs_of(r)[keep], _full(keys[keep], bucket, bits))
             if len(about) >= 20_000:
-                yield _told(about, PACKED)
+                yield told(about, PACKED)
                 about = []
             if got.size >= GATHERED:
                 yield got.rows()
         if about:
-            yield _told(about, PACKED)
+            yield told(about, PACKED)
         if got.size:
             yield got.rows()
 
     return run
 
 
-def _told(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+_WINDOWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("more", pa.binary()), ("places", pa.binary()), ("doc_id", pa.int64())])
+WINDOWS = "bucket int, kind tinyint, ids binary, counts binary, keys binary, more binary, places binary, doc_id bigint"
 
 
-_WINDOWS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("ids", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("doc_id", pa.int64())])
-WINDOWS = "bucket int, kind tinyint, ids binary, counts binary, keys binary, places binary, doc_id bigint"
+def _spots(tag: int, places: np.ndarray) -> np.ndarray:
+    """Places with the lower half of their text's tag above them: rows may repeat an id with another text."""
+    return np.uint64((tag & 0xFFFFFFFF) << 32) | places.astype(np.uint64)
 
 
-def _candidates(window: int, bits: int):
+def _candidates(window: int, keys: tuple[int, int], bits: int):
     """Documents with their hits to candidate windows: bucket rows (kind 0), or places settled here (kind 1)."""
     block = window // 2
     keep = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(32 - bits)
@@ -222,12 +200,12 @@ def _candidates(window: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows, data, off in slices(batches):
-            words, first = word_hashes(data, off)
+            words, first = word_hashes(data, off, keys[0])
             blocks, at = window_hashes(words, first, block)
             wide, wat = window_hashes(words, first, window)
+            more = window_hashes(word_hashes(data, off, keys[1])[0], first, window)[0]
             hits = rows.column(rows.schema.get_field_index("hits")).to_pylist()
-            ids = rows.column(0).to_pylist()
-            for i, doc in enumerate(ids):
+            for i, (doc, tag) in enumerate(zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True)):
                 mine = np.unique(np.frombuffer(hits[i], np.uint64))
                 spots = np.isin(blocks[at[i] : at[i + 1]] & keep, mine)
                 n = int(wat[i + 1] - wat[i])
@@ -235,7 +213,7 @@ def _candidates(window: int, bits: int):
                 mark = np.concatenate([[0], np.cumsum(spots)])
                 lo = np.arange(n)
                 cand = np.flatnonzero(mark[lo + window - block + 1] > mark[lo])
-                held.append((np.full(len(cand), doc), wide[wat[i] : wat[i + 1]][cand], cand.astype(np.int64)))
+                held.append((np.full(len(cand), doc), wide[wat[i] : wat[i + 1]][cand], more[wat[i] : wat[i + 1]][cand], _spots(tag, cand)))
                 size += len(cand)
             if size >= GROUP_WINDOWS:
                 yield from _first_here(held, bits)
@@ -246,35 +224,40 @@ def _candidates(window: int, bits: int):
     return run
 
 
+def _least(doc: np.ndarray, key: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by window and document, and, in it, the smallest document that has each one's window."""
+    order = np.lexsort((doc, more, key))
+    doc, key, more = doc[order], key[order], more[order]
+    head = np.concatenate([[True], (key[1:] != key[:-1]) | (more[1:] != more[:-1])])
+    return order, doc[np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
+
+
 def _first_here(held: list, bits: int) -> Iterator[pa.RecordBatch]:
     """Windows that a document with a smaller id has, among these: settled. The others' first documents ask on."""
-    doc, key, place = (np.concatenate([h[i] for h in held]) for i in range(3))
-    order = np.lexsort((place, doc, key))
-    doc, key, place = doc[order], key[order], place[order]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    least = doc[np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
+    doc, key, more, place = (np.concatenate([h[i] for h in held]) for i in range(4))
+    order, least = _least(doc, key, more)
+    doc, key, more, place = doc[order], key[order], more[order], place[order]
     gone = doc > least
     out = []
     if gone.any():
-        out += _window_rows(doc[gone], key[gone], place[gone], bits, 1)
-    out += _window_rows(doc[~gone], key[~gone], place[~gone], bits, 0)
+        d, p = doc[gone], place[gone]
+        order = np.argsort(d, kind="stable")
+        d, p = d[order], p[order]
+        names = np.unique(d)
+        out += [(0, 1, None, None, None, None, p[lo:hi].astype("<u8").tobytes(), x) for x, lo, hi in zip(names.tolist(), np.searchsorted(d, names), np.searchsorted(d, names, "right"), strict=True)]
+    out += _window_rows(doc[~gone], key[~gone], more[~gone], place[~gone], bits)
     for lo in range(0, len(out), 4096):
-        yield _told(out[lo : lo + 4096], _WINDOWS)
+        yield told(out[lo : lo + 4096], _WINDOWS)
 
 
-def _window_rows(doc: np.ndarray, key: np.ndarray, place: np.ndarray, bits: int, kind: int) -> list[tuple]:
-    if kind:
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order]
-        names = np.unique(doc)
-        return [(0, 1, None, None, None, place[lo:hi].astype("<u4").tobytes(), d) for d, lo, hi in zip(names.tolist(), np.searchsorted(doc, names), np.searchsorted(doc, names, "right"), strict=True)]
+def _window_rows(doc: np.ndarray, key: np.ndarray, more: np.ndarray, place: np.ndarray, bits: int) -> list[tuple]:
     bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
     order = np.lexsort((doc, bucket))
-    bucket, doc, key, place = bucket[order], doc[order], key[order], place[order]
+    bucket, doc, key, more, place = bucket[order], doc[order], key[order], more[order], place[order]
     names, rows = np.unique(bucket), []
     for b, lo, hi in zip(names.tolist(), np.searchsorted(bucket, names), np.searchsorted(bucket, names, "right"), strict=True):
         d, n = np.unique(doc[lo:hi], return_counts=True)
-        rows.append((b, 0, d.astype("<i8").tobytes(), n.astype("<u4").tobytes(), key[lo:hi].astype("<u8").tobytes(), place[lo:hi].astype("<u4").tobytes(), None))
+        rows.append((b, 0, d.astype("<i8").tobytes(), n.astype("<u4").tobytes(), *(x[lo:hi].astype("<u8").tobytes() for x in (key, more, place)), None))
     return rows
 
 
@@ -283,18 +266,16 @@ def _first_of_all(bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = _Gathered(bits)
-        for bucket, rows in _runs(batches):
+        for bucket, rows in bucket_runs(batches):
             if bucket < 0:
-                places = np.frombuffer(rows[0]["places"], "<u4")
+                places = np.frombuffer(rows[0]["places"], "<u8")
                 got.add(np.full(len(places), rows[0]["doc_id"]), places)
             else:
-                keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows])
                 docs = np.concatenate([_docs_of(r) for r in rows])
-                places = np.concatenate([np.frombuffer(r["places"], "<u4") for r in rows])
-                value, at = np.unique(keys, return_inverse=True)
-                least = np.full(len(value), np.iinfo(np.int64).max)
-                np.minimum.at(least, at, docs)
-                gone = docs > least[at]
+                key, more, places = (np.concatenate([np.frombuffer(r[c], "<u8") for r in rows]) for c in ("keys", "more", "places"))
+                order, least = _least(docs, key, more)
+                docs, places = docs[order], places[order]
+                gone = docs > least
                 got.add(docs[gone], places[gone])
             if got.size >= GATHERED:
                 yield got.rows()
@@ -304,7 +285,7 @@ def _first_of_all(bits: int):
     return run
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+_KEPT = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
 def _cut(window: int):
@@ -313,57 +294,61 @@ def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, tag, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 cover = np.zeros(len(words) + 1, np.int64)
-                begin = np.unique(np.frombuffer(places, "<u4")).astype(np.int64)
+                spots = np.unique(np.frombuffer(places, "<u8"))
+                begin = (spots[spots >> np.uint64(32) == np.uint64(tag & 0xFFFFFFFF)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 np.add.at(cover, begin, 1)
                 np.add.at(cover, np.minimum(begin + window, len(words)), -1)
                 gone = np.cumsum(cover[:-1]) > 0
-                out.append((doc, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()))
+                out.append((doc, tag, int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode()))
             if out:
-                yield _told(out, _KEPT)
+                yield told(out, _KEPT)
 
     return run
 
 
-def _ints(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def tag_of(text: str):
+    """Tells texts of one id apart."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Two frames over ``docs`` (doc_id, text): about every row (doc_id, n_words, sha of its words joined by one
-    space, whole: all of it goes, being a copy), and, for rows that lose a part, (doc_id, n_removed, kept).
+    """Two frames over ``docs`` (doc_id, text): about every row (doc_id, tag, n_words, sha of its words joined by one
+    space, whole: all of it goes, being a copy), and, for rows that may lose a part, (doc_id, tag, n_removed, kept).
 
     A word goes if a window of ``window`` consecutive words covers it that also starts in a document with a smaller
     id. Windows are judged on the input. Nulls and empties: null or empty texts have no words; rows without an id
-    lose nothing and take nothing. Rows that repeat an id are judged alike, never by each other. An empty table
-    gives no rows. Other columns are ignored. Whole texts are read.
+    lose nothing and take nothing. Rows that repeat an id are judged each by its own text, never by each other;
+    ``tag`` tells their texts apart. An empty table gives no rows. Other columns are ignored. Whole texts are read.
     """
-    spark = docs.sparkSession
-    bits, docs = bucket_bits(spark), _ints(docs)
-    sent = docs.mapInArrow(lean(_anchors(window, bits)), STEP1)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), tag_of("text").alias("tag"))
+    keys, parts = hash_keys(), n_parts(docs)
+    bits = bucket_bits(parts)
     spread = F.when(F.col("kind") == 0, F.col("bucket").cast("bigint")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    found = materialize(sent.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(lean(_probe(bits)), PACKED_SQL), "anchors")
-    about = found.filter("kind = 2").select("doc_id", "n_words", "sha")
+    sent = docs.mapInArrow(lean(_anchors(window, keys[0], bits)), SENT_SQL)
+    found = materialize(sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(lean(_probe(bits)), PACKED_SQL), "anchors")
+    name = F.split("sha", ":")
+    about = found.filter("kind = 2").select("doc_id", name[1].cast("bigint").alias("tag"), "n_words", name[0].alias("sha"))
     firsts = about.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha", "n_words").agg(F.min("doc_id").alias("first"))
-    about = materialize(about.join(firsts, ["sha", "n_words"], "left").select("doc_id", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("whole")), "about")
+    about = materialize(about.join(firsts, ["sha", "n_words"], "left").select("doc_id", "tag", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("whole")), "about")
     partial = about.filter(~F.col("whole")).select("doc_id").distinct()
-    hits = by_document(found, "<u8").withColumnRenamed("vals", "hits").join(partial, "doc_id", "left_semi")
+    hits = by_document(found, "<u8", parts).withColumnRenamed("vals", "hits").join(partial, "doc_id", "left_semi")
     near = docs.join(hits, "doc_id")
-    asked = near.mapInArrow(lean(_candidates(window, bits)), WINDOWS)
-    spread = F.when(F.col("kind") == 0, F.col("bucket").cast("bigint")).otherwise(F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    gone = materialize(asked.repartition(n_parts(spark), spread).sortWithinPartitions("bucket").mapInArrow(lean(_first_of_all(bits)), PACKED_SQL), "places")
-    places = by_document(gone, "<u4").withColumnRenamed("vals", "places")
-    cut = docs.join(places, "doc_id").mapInArrow(lean(_cut(window)), "doc_id bigint, n_removed bigint, kept string")
+    asked = near.mapInArrow(lean(_candidates(window, keys, bits)), WINDOWS)
+    gone = materialize(asked.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(lean(_first_of_all(bits)), PACKED_SQL), "places")
+    discard(found)
+    places = by_document(gone, "<u8", parts).withColumnRenamed("vals", "places")
+    cut = docs.join(places, "doc_id").mapInArrow(lean(_cut(window)), "doc_id bigint, tag bigint, n_removed bigint, kept string").dropDuplicates(["doc_id", "tag"])
     return about, cut
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     about, cut = repeats(table(spark, sf_dir, "documents"))
-    cut = cut.select("doc_id", "n_removed", F.sha2("kept", 256).alias("kept_sha")).dropDuplicates(["doc_id"])
+    cut = cut.select("doc_id", "tag", "n_removed", F.sha2("kept", 256).alias("kept_sha"))
     none = F.sha2(F.lit(""), 256)
-    rows = about.join(cut, "doc_id", "left")
+    rows = about.join(cut, ["doc_id", "tag"], "left")
     removed = F.when(F.col("whole"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
     return rows.select("doc_id", "n_words", removed.cast("bigint").alias("n_removed"), F.when(F.col("whole"), none).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
 
@@ -371,14 +356,18 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs``, repeated passages taken out of their texts; rows that lose everything go.
 
-    Texts that lose nothing stay as they are; others are their kept words joined by one space, and n_chars follows.
+    Texts that lose nothing stay as they are, null and empty ones too; others are their kept words joined by one
+    space, and n_chars follows. Columns of ``docs`` pass through, whatever their names. Rows that repeat an id are
+    judged each by its own text. An empty table gives no rows.
     """
     about, cut = repeats(docs, window)
-    gone = about.filter("whole").select("doc_id").distinct().withColumn("_whole", F.lit(True))
-    cut = cut.select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
-    rows = docs.join(gone, "doc_id", "left").filter("_whole is null").join(cut, "doc_id", "left").filter("_kept is null or _kept <> ''")
-    text = F.coalesce("_kept", "text")
-    out = rows.withColumn("text", text)
+    d, t, whole, left, n = unused(docs, "d", "t", "whole", "kept", "n_removed")
+    gone = about.filter("whole").select(F.col("doc_id").alias(d), F.col("tag").alias(t), F.lit(True).alias(whole)).distinct()
+    cut = cut.filter("n_removed > 0").select(F.col("doc_id").alias(d), F.col("tag").alias(t), F.col("kept").alias(left))
+    told_of = gone.withColumn(left, F.lit(None).cast("string")).unionByName(cut.withColumn(whole, F.lit(False)).join(gone.select(d, t), [d, t], "left_anti"))
+    here = (F.col("doc_id").cast("bigint") == F.col(d)) & (tag_of("text") == F.col(t))
+    rows = docs.join(told_of, here, "left").filter(~F.coalesce(F.col(whole), F.lit(False)) & (F.coalesce(F.col(left), F.lit("x")) != ""))
+    out = rows.withColumn("text", F.coalesce(left, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("bigint")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(left).isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

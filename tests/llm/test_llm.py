@@ -98,6 +98,62 @@ def test_substring_dedup_is_brute_force(spark):
     assert {i for i in want if want[i][0] and not want[i][2]}.isdisjoint(left)
 
 
+def thue_morse():
+    """Two words of 1024 characters that any polynomial hash modulo 2^64 takes for one."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_crafted_words_stay_apart(spark):
+    a, b = thue_morse()
+    got = jaccard.join(docs(spark, [(1, a), (2, b), (3, "x " * 3 + a), (4, "x " * 3 + b), (5, a)]), 4, 85, 100).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    tail = " ".join(f"w{i}" for i in range(50))
+    about, cut = substrings.repeats(docs(spark, [(1, f"{a} {tail[:-1]}"), (2, f"{b} {tail[:-1]}x")]))
+    assert not cut.filter("n_removed > 0").collect() and not about.filter("whole").collect()
+    # the same trick with whole words in place of characters
+    rows = [(1, " ".join(f"p{c}" for c in a[:64])), (2, " ".join(f"p{c}" for c in b[:64]))]
+    assert not substrings.repeats(docs(spark, rows))[1].filter("n_removed > 0").collect()
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    rng = random.Random(9)
+    x, y, z = (text(rng, 120, 10_000) for _ in range(3))
+    rows = [(1, x), (2, y), (2, z), (3, z + " end"), (4, y), (5, z)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs(spark, rows), 4, 85, 100).collect()}
+    assert got == {(1, 117, 1), (2, 117, 2), (3, 118, 2), (4, 117, 2), (5, 117, 2)}
+    left = sorted((r.doc_id, r.text) for r in substrings.without_repeats(docs(spark, [(1, x), (2, f"{x} a b"), (2, f"c d {y}"), (3, f"{y} e")])).collect())
+    assert left == [(1, x), (2, "a b"), (2, f"c d {y}"), (3, "e")]
+
+
+@pytest.mark.parametrize("first", [0, 1])
+def test_second_look_finds_what_the_first_leaves(spark, monkeypatch, first):
+    """A hash that many components share, more pairs of two of them than the first look tries."""
+    monkeypatch.setattr(jaccard, "FIRST_PAIRS", first)
+    monkeypatch.setattr(jaccard, "PART", 7)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
+    rows = corpus(11)
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs(spark, rows), 4, 60, 100).collect()}
+    assert got == by_links({i: shingles(t, 4) for i, t in rows}, 60, 100)
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(12)
+    long = text(rng, 150_000, 50_000)
+    rows = [(1, long), (2, f"{long} more"), (3, "short"), (4, None)]
+    got = {r.doc_id: r.component_id for r in jaccard.join(docs(spark, rows), 5, 80, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+    df = docs(spark, rows)
+    for c in ("_kept", "_whole", "kept", "whole", "d", "t", "tag", "gone", "n_removed", "_size", "_bin", "p_source", "_copy", "_base", "_cut", "base", "cut"):
+        df = df.withColumn(c, F.lit(77))
+    df = df.withColumn("source", F.lit("s"))
+    for out in (substrings.without_repeats(df), jaccard.one_of_each(df), mixing.resample(df)):
+        assert out.columns == df.columns and {r["_size"] + r["_kept"] + r["cut"] for r in out.collect()} == {231}
+    assert {r.doc_id: r.text for r in substrings.without_repeats(df).collect()} == {1: long, 2: "more", 3: "short", 4: None}
+
+
 def test_mixing(spark):
     rows = [(i, "a " * (i % 7 + 1), f"s{i % 4}" if i % 9 else None) for i in range(600)] + [(601, None, "s1"), (0, "a ", None)]
     got = mixing.mix(docs(spark, rows, "doc_id bigint, text string, source string")).collect()
