@@ -22,7 +22,7 @@ BEGIN, END = "<|im_start|>", "<|im_end|>"
 #: The beginnings of templates' control strings. Their first character gets a backslash behind it.
 _CONTROL = r"<(?=\||s>|/s>|<SYS>>|</SYS>>)|\[(?=/?INST\])"
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
-#: No path is longer than two to this power; messages on a cycle have no root and are in no path.
+#: No path is longer than two to this power.
 MOST_ROUNDS = 40
 
 
@@ -39,8 +39,9 @@ def unescape(text: str) -> str:
 def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     """(conv, leaf, rank, node, pos) for the ``keep`` best leaves of each conversation (None: all).
 
-    ``messages``: conv, node (unique in conv), parent, score. A message whose parent is missing is a root. A leaf's
-    rank is by summed score of its path, then by its length, both descending, then by its id.
+    ``messages``: conv, node (unique in conv), parent, score; other columns are ignored. A message whose parent is
+    missing is a root. A leaf's rank is by summed score of its path, then by its length, both descending, then by its
+    id. Messages on a cycle, or below one, have no root and are in no path. An empty table gives no rows.
     """
     ids = messages.select("conv", F.col("node").alias("parent"), F.lit(True).alias("known"))
     at = messages.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).cast("double").alias("sum"))
@@ -48,9 +49,13 @@ def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     at = materialize(at, "tree")
     first = at
     steps = []
+    before = None
     for _ in range(MOST_ROUNDS):
-        if at.filter("up is not null").isEmpty():
+        # a round that takes nobody to a root: who is left is on a cycle or below one
+        going = at.filter("up is not null").count()
+        if going in (0, before):
             break
+        before = going
         steps.append(at.select("conv", F.col("node").alias("from"), "up").filter("up is not null"))
         over = at.select("conv", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("s2"), F.col("len").alias("l2"))
         # only messages that don't point past their root yet are joined
@@ -71,13 +76,22 @@ def paths(messages: DataFrame, keep: int | None = 1) -> DataFrame:
     return walk.select("conv", "leaf", "rank", "node", (F.col("len") - F.col("back") - 1).alias("pos"))
 
 
-def segments(messages: DataFrame, keep: int | None = 1) -> DataFrame:
+def one_each(messages: DataFrame) -> DataFrame:
+    """Of rows that repeat (conv, node) the one that comes first by parent, score, role and text; the five columns
+    and these two alone."""
+    rest = ["parent", "score", "role", "text"]
+    return messages.groupBy("conv", "node").agg(F.min(F.struct(*rest)).alias("x")).select("conv", "node", *[f"x.{c}" for c in rest])
+
+
+def segments(messages: DataFrame, keep: int | None = 1, unique: bool = False) -> DataFrame:
     """(conv, rank, pos, segment, loss_start, loss_end): each chosen path, a row for each turn.
 
     ``messages``: conv, node, parent, score, role, text. A conversation is its segments in order, joined by nothing.
     The loss mask covers the characters loss_start to loss_end of an assistant's segment, none of the others.
-    Null roles and texts are empty. An empty table gives no rows.
+    Null roles and texts are empty. Rows that repeat (conv, node) count once, as one_each() has it, unless ``unique``
+    says that there are none. Other columns are ignored. An empty table gives no rows.
     """
+    messages = messages if unique else materialize(one_each(messages), "messages")
     p = paths(messages.select("conv", "node", "parent", "score"), keep)
     role = F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n"))
     texts = messages.select("conv", "node", F.coalesce("role", F.lit("")).alias("role"), role.alias("shown"), escape(F.col("text")).alias("body"))
@@ -149,16 +163,22 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def chain(rows: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as a tree without branches: each turn answers the one before it.
 
-    Ties in ``turn`` go by role and text; null conversations are one conversation.
+    Ties in ``turn`` go by role and text. Rows without a conv_id are one conversation, under ``none_of(rows)``.
     """
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    out = rows.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(-(2**63))).alias("conv"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("bigint"))
+    out = rows.select(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(none_of(rows))).alias("conv"), "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("bigint"))
     return out.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
+def none_of(rows: DataFrame) -> int:
+    """A number that is no conv_id of ``rows``."""
+    low, high = rows.agg(F.min(F.col("conv_id").cast("bigint")), F.max(F.col("conv_id").cast("bigint"))).first()
+    return -(2**63) if low is None or low > -(2**63) else high + 1 if high < 2**63 - 1 else next(n for n in range(-(2**63) + 1, 2**63) if rows.filter(F.col("conv_id") == n).isEmpty())
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    out = digests(segments(materialize(chain(rows), "messages")))
-    return out.select(F.when(F.col("conv") > -(2**63), F.col("conv")).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    out = digests(segments(materialize(chain(rows), "messages"), unique=True))
+    return out.select(F.when(F.col("conv") != none_of(rows), F.col("conv")).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

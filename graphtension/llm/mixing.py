@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import table, words_in
+from graphtension.llm.common import table, unused, words_in
+from graphtension.operators.graph import running
 from graphtension.session import materialize
 
 #: The hash of a document falls into one of so many bins.
@@ -24,27 +25,31 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most: float) -> D
 
     Sources in code point order, null last, take ``weights`` in turn. Targets share the total in these proportions;
     none goes above ``most`` times its source's size, and what that leaves is shared among the others. With sources
-    in the order of limit over weight, those before the first whose limit isn't reached are at their limits.
+    in the order of limit over weight, those before the first whose limit isn't reached are at their limits. Places
+    and sums in an order come from range partitions, so sources may be many.
     """
     w = F.array(*[F.lit(float(x)) for x in weights])
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sizes.withColumn("w", F.get(w, ((F.row_number().over(order) - 1) % len(weights)).cast("int")))
-    s = s.withColumn("limit", F.col("source_size") * F.lit(float(most)))
-    s = s.withColumn("r", F.col("limit") / F.col("w"))
-    by_r = Window.orderBy("r", F.col("source").asc_nulls_last())
-    before, after = by_r.rowsBetween(Window.unboundedPreceding, -1), by_r.rowsBetween(0, Window.unboundedFollowing)
-    all_rows = Window.partitionBy(F.lit(1))
-    s = s.withColumn("level", (F.sum("source_size").over(all_rows) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    s = s.withColumn("at", F.min(F.when(F.col("level") <= F.col("r"), F.struct("r", "level"))).over(all_rows))
-    return s.select("source", "source_size", F.least("limit", F.coalesce(F.col("at.level"), F.col("level")) * F.col("w")).alias("target"))
+    at = F.struct(F.col("source").isNull().alias("last"), F.col("source").alias("name"))
+    s = running(sizes.withColumn("at", at), "at", {"i": F.lit(1).cast("bigint")})
+    s = s.withColumn("w", F.get(w, (F.col("i") % len(weights)).cast("int"))).withColumn("limit", F.col("source_size") * F.lit(float(most)))
+    s = s.select("source", "source_size", "w", "limit", F.struct((F.col("limit") / F.col("w")).alias("r"), "at").alias("by"))
+    s = running(s, "by", {"limits": F.col("limit"), "ws": F.col("w")})
+    s = materialize(s, "ordered")
+    words, ws = s.agg(F.sum("source_size"), F.sum("w")).first()
+    if words is None:
+        return s.select("source", "source_size", F.lit(0.0).alias("target"))
+    s = s.withColumn("level", (F.lit(float(words)) - F.col("limits")) / (F.lit(ws) - F.col("ws")))
+    found = s.filter(F.col("level") <= F.col("by.r")).agg(F.min(F.struct("by.r", "level")).alias("x")).select("x.level").first().level
+    return s.select("source", "source_size", (F.col("limit") if found is None else F.least("limit", F.lit(found) * F.col("w"))).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) for every row of ``docs`` (doc_id, text, source).
 
-    A source's rate is target over size. Each document is taken floor(rate) times, and once more if its hash lies
-    below the fraction's quantile: the bin edge at which the source's words so far come closest to fraction times
-    its size. So the chance of the extra copy is the fraction, and the words taken come near the target.
+    A source's rate is target over size. Each document is taken floor(rate) times, and drawn once more if its hash
+    lies below an edge. A plain draw's edge is the fraction itself, which few or uneven documents miss by far; here
+    the edge is the bin at which the source's words, in the order of the hash, come closest to fraction times its
+    size. That is the plain draw, corrected: documents whose hash lies between the two edges change sides.
 
     Nulls and empties: a null text has size 0; null sources are one source, the last; null ids hash alike. Repeated
     rows are taken alike. An empty table gives no rows. Other columns of ``docs`` are ignored.
@@ -58,7 +63,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
 def mixing_plan(sized: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
     """(p_source, source_size, target, base, cut) from rows (source, size, bin); summed by source and bin first."""
     bins = materialize(sized.groupBy("source", "bin").agg(F.sum("size").alias("size")), "bins")
-    targets = source_targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    targets = materialize(source_targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.nullif(F.col("source_size"), F.lit(0))).otherwise(0.0)
     targets = targets.withColumn("base", F.floor(rate).cast("int")).withColumn("goal", (rate - F.floor(rate)) * F.col("source_size"))
     t = targets.withColumnRenamed("source", "p_source")
@@ -76,13 +81,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resample(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with all its columns."""
-    sized = docs.withColumn("_size", words_in("text")).withColumn("_bin", hash_bin(F.col("doc_id"), seed))
-    small = materialize(sized.select("source", F.col("_size").alias("size"), F.col("_bin").alias("bin")), "sizes")
-    plan = mixing_plan(small, weights, most).select("p_source", F.col("base").alias("_base"), F.col("cut").alias("_cut"))
-    joined = sized.join(plan, sized.source.eqNullSafe(plan.p_source))
-    times = F.col("_base") + (F.col("_bin") < F.col("_cut")).cast("int")
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as mix() takes it, with all its columns, whatever their names.
+
+    A null text has size 0 and goes with its source's rate; null sources are one source. Repeated rows stay alike; an
+    empty table gives no rows.
+    """
+    size, at, base, cut, source, copy = unused(docs, "size", "bin", "base", "cut", "p_source", "copy")
+    sized = docs.withColumn(size, words_in("text")).withColumn(at, hash_bin(F.col("doc_id"), seed))
+    small = materialize(sized.select("source", F.col(size).alias("size"), F.col(at).alias("bin")), "sizes")
+    plan = mixing_plan(small, weights, most).select(F.col("p_source").alias(source), F.col("base").alias(base), F.col("cut").alias(cut))
+    joined = sized.join(plan, F.col("source").eqNullSafe(F.col(source)))
+    times = F.col(base) + (F.col(at) < F.col(cut)).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -7,6 +7,7 @@ the fullest window is emitted and the piece opens a new one. What is open at the
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
 import zlib
@@ -34,6 +35,17 @@ RUNS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u
 #: Marks that are a run of their own behind letters; most words that aren't letters alone end in one.
 ENDS = frozenset(".,;:!?")
 
+#: What a tokenizer file says that parts texts as RUNS does.
+KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+KNOWN_PARTS = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -44,7 +56,8 @@ class WordTokenizer:
     those of its runs; a word of letters is one run. Words and runs are remembered as bytes, in a table that becomes
     the old one when it is full: words that come again move to the new one, the others go with the old. New runs of
     many texts go to the library in one call; the tokens that end a run part them. Texts with characters for which
-    the same runs aren't certain (PLAIN tells) are encoded whole.
+    the same runs aren't certain (PLAIN tells) are encoded whole; all texts are if the file's normalizer, parts and
+    model aren't the ones that this class knows.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,6 +65,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        told = json.loads(self.tok.to_str())
+        model = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+        specials = all(t["content"].startswith("<|") for t in told["added_tokens"])
+        self.known = (told["normalizer"], told["pre_tokenizer"], model) == (KNOWN_NORMALIZER, KNOWN_PARTS, KNOWN_MODEL) and specials
         # the same model over runs that are found already: only white space parts them
         self.model = Tokenizer(self.tok.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -87,6 +104,8 @@ class WordTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.known:
+            return [self.whole(t) for t in texts]
         words = [t.lower().split() if PLAIN(t) and "<|" not in t else None for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.old, self.seen = self.seen, {}
@@ -148,7 +167,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids, with the end id behind them, are cut into full windows and a rest. ``tokenizer`` is a file of
-    the tokenizers library whose tokens never cross white space; it lies at the same place on all machines.
+    the tokenizers library, at the same place on all machines; one whose parts WordTokenizer doesn't know encodes
+    whole texts, at the library's speed.
 
     Nulls and empties: a null or empty text is the end id alone. Repeated rows are packed as documents of their own;
     a null doc_id stays null. An empty table gives no rows; other columns are ignored. Whole texts are read; a task

@@ -162,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, exceptions: list[str] | None = Non
     At most ``sample`` labels are taken, so they are small enough for all executors and texts need no shuffle.
 
     Phrases of an entry and the word beside it that clean documents have, and toxic ones don't, become exceptions;
-    ``exceptions`` adds more.
+    ``exceptions`` adds more. Fewer than LEAST_TOXIC toxic texts teach nothing: every score is 0. Rows that repeat a
+    doc_id count each; null texts count as empty.
     """
     chosen = labels.filter("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     rows = docs.join(F.broadcast(chosen), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic")

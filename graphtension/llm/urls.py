@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphtension.llm.common import table
-from graphtension.session import materialize
+from graphtension.session import discard, materialize
 
 #: (verdict, rule): a rule is a host and the beginning of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -54,51 +54,67 @@ def host_links(pages: DataFrame) -> DataFrame:
     href = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1)))
     links = pages.filter("host <> ''").select(F.col("host").alias("src"), href.alias("href"))
     full = F.when(F.col("href").startswith("//"), F.concat(F.lit("x:"), F.col("href"))).otherwise(F.col("href"))
-    dst = F.when(full.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), host_of(full)).otherwise(F.col("src"))
+    # mailto:, javascript: and the like lead to no host
+    dst = F.when(full.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), host_of(full)).when(full.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), "").otherwise(F.col("src"))
     return links.select("src", dst.alias("dst")).filter("dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
+#: Rounds end when the weights that moved in one sum to no more than this; a round moves at most damping times the
+#: last, so at 0.85 it comes in 85 rounds at the latest.
+SETTLED = 1e-6
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust): personalised PageRank from ``seeds`` (host, trusted, blocked; any positive weights).
 
     Trust follows links, distrust goes against them. A host without a way on keeps what it has. Links are summed by
-    host pair before they are joined, sums are partial before they are shuffled, and each round is written to the
-    shared folder.
+    host pair before they are joined, sums are partial before they are shuffled, and rounds are written to the shared
+    folder two by two. They go on until all but ``settled`` of the weight, which is 1 each, stays where it is.
     """
     hosts = links.select(F.col("src").alias("host")).union(links.select("dst")).union(seeds.select("host")).distinct()
-    total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"))
-    share = lambda c, t: F.coalesce(F.col(c) / F.nullif(F.col(t), F.lit(0)), F.lit(0.0))
-    start = hosts.join(seeds, "host", "left").join(F.broadcast(total)).select("host", share("trusted", "t").alias("t0"), share("blocked", "b").alias("d0"))
+    trusted, blocked = seeds.agg(F.sum("trusted"), F.sum("blocked")).first()
+    share = lambda c, total: F.coalesce(F.col(c) / F.lit(total), F.lit(0.0)) if total else F.lit(0.0)
+    start = hosts.join(seeds, "host", "left").select("host", share("trusted", trusted).alias("t0"), share("blocked", blocked).alias("d0"))
     loops = lambda one, other: hosts.join(links.select(F.col(one).alias("host")).distinct(), "host", "left_anti").select(F.col("host").alias(one), F.col("host").alias(other))
     flow = lambda one: links.join(links.groupBy(one).agg(F.sum("n").alias("all")), one)
     out = flow("src").select("src", "dst", (F.col("n") / F.col("all")).alias("w")).unionByName(loops("src", "dst").withColumn("w", F.lit(1.0)))
     back = flow("dst").select("src", "dst", (F.col("n") / F.col("all")).alias("w")).unionByName(loops("dst", "src").withColumn("w", F.lit(1.0)))
     start, out, back = materialize(start, "seeds"), materialize(out, "out"), materialize(back, "back")
-    state = start.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
     zero = F.lit(0.0)
-    for _ in range(rounds):
+
+    def step(state: DataFrame) -> DataFrame:
         t = out.join(state, out.src == state.host).select(F.col("dst").alias("host"), (F.col("w") * F.col("trust")).alias("t"), zero.alias("d"))
         d = back.join(state, back.dst == state.host).select(F.col("src").alias("host"), zero.alias("t"), (F.col("w") * F.col("distrust")).alias("d"))
         got = t.unionByName(d).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
         mixed = lambda a, b: ((1 - damping) * F.col(a) + damping * F.coalesce(b, zero))
-        state = materialize(start.join(got, "host", "left").select("host", mixed("t0", F.col("t")).alias("trust"), mixed("d0", F.col("d")).alias("distrust")), "trust")
-    return state
+        return start.join(got, "host", "left").select("host", mixed("t0", F.col("t")).alias("trust"), mixed("d0", F.col("d")).alias("distrust"))
+
+    state = start.select("host", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    while True:
+        one = step(state)
+        was = one.select("host", F.col("trust").alias("t1"), F.col("distrust").alias("d1"))
+        now = materialize(step(one).join(was, "host"), "trust")
+        discard(state)
+        state = now
+        if now.agg(F.coalesce(F.sum(F.abs(F.col("trust") - F.col("t1")) + F.abs(F.col("distrust") - F.col("d1"))), zero)).first()[0] <= settled:
+            return state.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: int = 10, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of ``pages`` (page_id, url, html).
 
     The longest fitting rule decides. Else the host does: it is blocked if distrust is more than ``threshold`` of
     its trust and distrust together. Seeds are the hosts of pages that a rule allows or blocks, by their numbers.
 
     Nulls and empties: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed;
-    null html has no links. Repeated rows give repeated verdicts. An empty table gives no rows.
+    null html has no links. Repeated rows give repeated verdicts, and their links count again. An empty table gives
+    no rows. Whole html is read, a page at a time, however long; other columns are ignored.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     links = materialize(host_links(rows), "links")
     ruled = with_rule(rows.select("page_id", "host", "path"), rules)
     seeds = ruled.filter("rule is not null and host <> ''").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("trusted"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
-    flowed = propagate(links, materialize(seeds, "seeds"), rounds, damping)
+    flowed = propagate(links, materialize(seeds, "seeds"), damping)
     bad = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
     out = ruled.join(flowed, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
@@ -108,7 +124,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _oracle(rounds: int = 10, damping: float = 0.85) -> str:
+def _oracle(rounds: int = 100, damping: float = 0.85) -> str:
     host = "translate(coalesce(regexp_extract({0}, '://([^/?#]*)', 1), ''), '" + _UP + "', '" + _LOW + "')"
     rule = verdict = "NULL"
     for v, r, h, p in reversed(_parts(RULES)):
@@ -119,19 +135,19 @@ def _oracle(rounds: int = 10, damping: float = 0.85) -> str:
         f"ruled AS (SELECT page_id, host, path, {rule} AS rule, {verdict} AS rv FROM p)",
         r"""h AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)) AS href FROM p WHERE host <> '')""",
         "f AS (SELECT src, CASE WHEN href LIKE '//%' THEN 'x:' || href ELSE href END AS href FROM h)",
-        f"l AS (SELECT src, dst, count(*) AS n FROM (SELECT src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {host.format('href')} ELSE src END AS dst FROM f) WHERE dst <> '' GROUP BY src, dst)",
+        f"l AS (SELECT src, dst, count(*) AS n FROM (SELECT src, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {host.format('href')} WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN '' ELSE src END AS dst FROM f) WHERE dst <> '' GROUP BY src, dst)",
         "seeds AS (SELECT host, count(*) FILTER (rv = 'allow') AS t, count(*) FILTER (rv = 'block') AS b FROM ruled WHERE rule IS NOT NULL AND host <> '' GROUP BY host)",
         "hosts AS (SELECT src AS host FROM l UNION SELECT dst FROM l UNION SELECT host FROM seeds)",
         "st AS (SELECT host, coalesce(t / nullif((SELECT sum(t) FROM seeds), 0), 0) AS t0, coalesce(b / nullif((SELECT sum(b) FROM seeds), 0), 0) AS d0 FROM hosts LEFT JOIN seeds USING (host))",
         "o AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS w FROM l UNION ALL SELECT host, host, 1 FROM hosts WHERE host NOT IN (SELECT src FROM l))",
         "bk AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY dst) AS w FROM l UNION ALL SELECT host, host, 1 FROM hosts WHERE host NOT IN (SELECT dst FROM l))",
-        "s0 AS (SELECT host, t0 AS t, d0 AS d FROM st)",
+        f"""tr AS (SELECT 0 AS i, host, t0 AS x FROM st UNION ALL SELECT i + 1, host, {1 - damping} * any_value(t0) + {damping} * coalesce(sum(w * x), 0)
+  FROM (SELECT tr.i, st.host, st.t0, o.w, p.x FROM (SELECT DISTINCT i FROM tr WHERE i < {rounds}) tr CROSS JOIN st LEFT JOIN (o JOIN tr p ON o.src = p.host) ON o.dst = st.host) GROUP BY i, host)""",
+        f"""di AS (SELECT 0 AS i, host, d0 AS x FROM st UNION ALL SELECT i + 1, host, {1 - damping} * any_value(d0) + {damping} * coalesce(sum(w * x), 0)
+  FROM (SELECT di.i, st.host, st.d0, bk.w, p.x FROM (SELECT DISTINCT i FROM di WHERE i < {rounds}) di CROSS JOIN st LEFT JOIN (bk JOIN di p ON bk.dst = p.host) ON bk.src = st.host) GROUP BY i, host)""",
+        f"s AS (SELECT host, tr.x AS t, di.x AS d FROM tr JOIN di USING (i, host) WHERE i = {rounds})",
     ]
-    for i in range(rounds):
-        steps.append(f"t{i} AS (SELECT dst AS host, sum(w * t) AS t FROM o JOIN s{i} ON src = host GROUP BY dst)")
-        steps.append(f"d{i} AS (SELECT src AS host, sum(w * d) AS d FROM bk JOIN s{i} ON dst = host GROUP BY src)")
-        steps.append(f"s{i + 1} AS (SELECT host, {1 - damping} * t0 + {damping} * coalesce(t, 0) AS t, {1 - damping} * d0 + {damping} * coalesce(d, 0) AS d FROM st LEFT JOIN t{i} USING (host) LEFT JOIN d{i} USING (host))")
-    return "WITH " + ",\n".join(steps) + f"\nSELECT page_id, host, path, rule, coalesce(rv, CASE WHEN d > 0.5 * (t + d) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN s{rounds} USING (host)"
+    return "WITH RECURSIVE " + ",\n".join(steps) + "\nSELECT page_id, host, path, rule, coalesce(rv, CASE WHEN d > 0.5 * (t + d) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled LEFT JOIN s USING (host)"
 
 
 ORACLE = _oracle()

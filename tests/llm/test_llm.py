@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -227,6 +229,93 @@ def test_language(spark):
     assert language.identify(df, language.BitSlicedBloom([])).filter("lang_pred <> 'und'").count() == 0
 
 
+def plain_grams(t):
+    """Trigrams of letters and marks, one gap for anything else; the middle is never a gap."""
+    kind = lambda c: unicodedata.category(c)[0]
+    w = ["", *"".join(c if kind(c) in "LM" else " " for c in t.lower()).split(" "), ""]
+    chars = [0, *[x for word in w if word for x in (*map(ord, word), 0)]]
+    return [(chars[i - 1], chars[i], chars[i + 1]) for i in range(1, len(chars) - 1) if chars[i]]
+
+
+def test_bloom_is_brute_force():
+    rng = random.Random(21)
+    letters = [*"abcdefgh ÄÖé", "é", "ж", "日", "1", "-", "\0", "ﬁ", "İ"]
+    texts = ["", " ", "123", "a", *["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(80)]]
+    keys, at, has = language.grams(texts)
+    for i, t in enumerate(texts):
+        mine = [(k & 0x1FFFFF, k >> 21 & 0x1FFFFF, k >> 42) for k in keys[at[i] : at[i + 1]].tolist()]
+        assert mine == plain_grams(t) and has[i] == any(unicodedata.category(c)[0] == "L" for c in t.lower())
+    names = [f"l{i:02}" for i in range(70)]  # more than one plane
+    for langs in (names[:3], names):
+        bloom = language.BitSlicedBloom(langs, bits=11)
+        known = [{tuple(rng.choice(plain_grams(rng.choice(texts[3:])) or [(0, 97, 0)])) for _ in range(40)} for _ in langs]
+        number = lambda g: g[0] | g[1] << 21 | g[2] << 42
+        for i, grams in enumerate(known):
+            bloom.add(i, np.array([number(g) for g in grams], np.uint64))
+
+        def places(g):
+            out = []
+            for p in range(3):
+                h = number(g) * int(language._MULT[p]) % 2**64
+                h ^= h >> 29
+                out.append((h * int(language._MULT[(p + 1) % 3]) % 2**64) >> (64 - 11))
+            return out
+
+        filters = [{x for g in grams for x in places(g)} for grams in known]
+        rates = [(len(f) / 2**11) ** 3 for f in filters]
+        lang, score, _ = bloom.predict(texts)
+        for i, t in enumerate(texts):
+            grams = plain_grams(t)
+            c = [max(0.0, (sum(set(places(g)) <= f for g in grams) - r * len(grams)) / (1 - r)) for f, r in zip(filters, rates)]
+            letter = any(unicodedata.category(x)[0] == "L" for x in t.lower())
+            best = max(range(len(langs)), key=lambda j: (c[j], -j))
+            assert lang[i] == (langs[best] if letter else "und")
+            assert score[i] == pytest.approx(c[best] / sum(c) if letter and sum(c) > 0 else 0.0)
+
+
+def test_lexicon_is_brute_force():
+    rng = random.Random(22)
+    weights = {" bad": 2.0, " badi": 1.0, "adi": 0.5, "d b": 3.0, " e ": 1.5}
+    lex = toxicity.Lexicon(weights, [" bad e ", "badib"])
+    a = lex.automaton()
+    for _ in range(300):
+        f = toxicity.fold("".join(rng.choices("bad ie", k=rng.randrange(30))))
+        spared = [(i, i + len(x)) for x in lex.exceptions for i in range(len(f)) if f.startswith(x, i)]
+        best = {}
+        for i in range(len(f)):
+            fits = [p for p in weights if f.startswith(p, i) and not any(x <= i and i + len(p) <= y for x, y in spared)]
+            if fits:
+                p = max(fits, key=len)
+                best[p] = best.get(p, 0) + 1
+        mass, n = lex.mass(f, a)
+        assert mass == pytest.approx(sum(weights[p] * math.log2(1 + t) for p, t in best.items())) and n == len(f.split())
+
+
+def test_held_out_documents(spark):
+    """Floors of what the README states: languages, and toxic documents, that weren't learned from."""
+    sf = "/root/testdata/sf0.01"
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = QUERIES["op1_language_id"](spark, sf).filter("held_out").join(d.filter("lang is not null"), "doc_id").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.98
+    sf = "/root/testdata/sf0.1"  # fewer labels name too few toxic documents
+    lab = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic")
+    got = QUERIES["op3_toxicity"](spark, sf).filter("held_out").join(lab, "doc_id").toPandas()
+    yes, no = got.score[got.toxic == 1].to_numpy(), got.score[got.toxic != 1].to_numpy()
+    auc = ((yes[:, None] > no).mean() + (yes[:, None] == no).mean() / 2) if len(yes) and len(no) else 1.0
+    assert auc > 0.95 and 2 * ((got.predicted == 1) & (got.toxic == 1)).sum() / (got.predicted.sum() + got.toxic.sum()) > 0.9
+
+
+def test_toxicity_of_odd_tables(spark):
+    lex = toxicity.Lexicon({" vermin": 3.0}, [], 0.05, 0.25)
+    none = docs(spark, [])
+    assert toxicity.score(none, lex).count() == 0 and toxicity.train(none, spark.createDataFrame([], "doc_id bigint, toxic int")).weights == {}
+    few = toxicity.train(docs(spark, [(i, "vermin vermin") for i in range(3)]), spark.createDataFrame([(i, 1) for i in range(3)], "doc_id bigint, toxic int"))
+    assert few.weights == {}  # fewer toxic texts than an entry needs
+    rows = [(1, "vermin " * 200_000), (2, "plain " * 200_000), (2, "plain"), (2, "plain"), (None, "vermin vermin")]
+    got = sorted(((r.doc_id or 0), r.predicted) for r in toxicity.score(docs(spark, rows).withColumn("score", F.lit("x")), lex).collect())
+    assert got == [(0, 1), (1, 1), (2, 0), (2, 0), (2, 0)]
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["wretch", "dolt", "vermin"]
@@ -294,6 +383,24 @@ def test_vector_links_are_brute_force(spark):
         assert got[i] == (len(near.get(i, ())), min(reach), min(reach) == i)
 
 
+def test_scores_of_long_vectors_are_exact(spark):
+    rng = random.Random(13)
+    top = (1 << 22) - 1
+    rows = [(i, [float(top - rng.randrange(5)) / 256 * rng.choice([1, 1, 1, -1]) for _ in range(2048)], 0) for i in range(6)]
+    df = spark.createDataFrame([(i, v, x) for i, v, x in rows], "vec_id bigint, embedding array<double>, label int")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows}
+    want = []
+    for q in (0, 3):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)[:3]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    got = topk.search(df, df.filter("vec_id % 3 = 0"), 3).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want
+    # ids that repeat with other vectors: one query, the smallest vector; each row a candidate
+    two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.5, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0])], "vec_id bigint, embedding array<double>")
+    got = sorted(map(tuple, topk.search(two, two.filter("vec_id = 0"), 5).select("rank", "vec_id", "score").collect()))
+    assert got == [(1, 1, 128 * 512), (2, 1, 128 * 256)]
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/71?x", None), (2, "https://example.com/en/8", ""), (3, "//x", "<a href='/a'>"), (4, None, "x"), (5, "http://b.net/de/1#f", '<a href="/x">'), (6, "http://c.org/es", ""), (7, "http://c.org/es/1", ""), (8, "http://d.net/x", '<a href="http://c.org/y">')]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
@@ -304,6 +411,120 @@ def test_urls(spark):
     assert again == {i: got[i].rule for i in got}
 
 
+def test_trust_settles_over_a_long_chain(spark):
+    """Hosts far from every seed, against the fixed point solved densely."""
+    rows = [(0, "http://example.com/en/7", "<a href='http://h0.x/'><a href='mailto:a@b'><a href='javascript:f()'>")]
+    rows += [(i + 1, f"http://h{i}.x/", f"<a href='http://h{i + 1}.x/'><a href='http://h{max(i - 2, 0)}.x/'>") for i in range(9)]
+    rows += [(20, "http://h9.x/", "<a href='//c.org/y'><a href='/own'>"), (21, "http://c.org/es/1", None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    pages = df.select("page_id", urls.host_of(F.col("url")).alias("host"), "html")
+    links = urls.host_links(pages)
+    assert {(r.src, r.dst) for r in links.filter("src = 'example.com'").collect()} == {("example.com", "h0.x")}
+    seeds = spark.createDataFrame([("example.com", 1, 0), ("c.org", 0, 1)], "host string, trusted bigint, blocked bigint")
+    got = {r.host: r for r in urls.propagate(links, seeds).collect()}
+    names = sorted(got)
+    at = {h: i for i, h in enumerate(names)}
+    m = np.zeros((len(names), len(names)))
+    for r in links.collect():
+        m[at[r.src], at[r.dst]] += r.n
+    for way, seed, col in ((m, "example.com", "trust"), (m.T, "c.org", "distrust")):
+        w = way.copy()
+        w[w.sum(1) == 0] = np.eye(len(names))[w.sum(1) == 0]
+        start = np.zeros(len(names))
+        start[at[seed]] = 1
+        want = np.linalg.solve(np.eye(len(names)) - 0.85 * (w / w.sum(1, keepdims=True)).T, 0.15 * start)
+        assert [got[h][col] for h in names] == pytest.approx(want.tolist(), abs=1e-5)
+
+
+def test_pipeline_is_plain_python(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    make = {"aa": [f"{x}{y}" for x in "klmt" for y in ("a", "oi", "ua", "emo")], "bb": [f"{x}{y}" for x in ("st", "gr", "pl", "br") for y in ("erz", "ums", "ack", "iff")]}
+    prose = lambda lang, n: [rng.choice(make[lang]) + rng.choice(make[lang]) for _ in range(n)]
+    rows = [(i, " ".join(prose(x, rng.choice([30, 90, 300]))), x, f"s{i % 4}" if i % 7 else None) for i in range(60) for x in [["aa", "bb"][i % 2]]]
+    passage = prose("aa", 70)
+    for i in range(60, 90):
+        w = rows[rng.randrange(60)][1].split()
+        w[rng.randrange(len(w))] = "kakaka"
+        rows.append((i, " ".join(w + passage * (i % 3 == 0)), "aa", f"s{i % 4}"))
+    rows += [(90, None, "aa", "s1"), (91, "12 34 ?", "bb", "s1"), (92, "", None, None), rows[5]]
+    full = [(i, t, x, s, len(t or "")) for i, t, x, s in rows]
+    docs(spark, full, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [r for r in full if r[1] and any(c.isalpha() for c in r[1])]
+    comp = by_links({r[0]: shingles(r[1], 5) for r in kept}, 80, 100)
+    kept = [r for r in kept if comp[r[0]] == r[0]]
+    first = {}
+    for r in sorted(kept):
+        w = r[1].split()
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), r[0])
+    cut = []
+    for r in kept:
+        w = r[1].split()
+        gone = [False] * len(w)
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < r[0]:
+                gone[j : j + 50] = [True] * 50
+        left = " ".join(x for x, g in zip(w, gone) if not g)
+        if left:
+            cut.append((r[0], left if any(gone) else r[1], r[3]))
+    sizes = {}
+    for _, t, s in cut:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: float(i % 3 + 1) for i, s in enumerate(order)}
+    target, free = {}, set(order)
+    while True:
+        level = (sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in free)
+        full_ones = {s for s in free if 3 * sizes[s] < level * weight[s]}
+        if not full_ones:
+            break
+        target |= {s: 3.0 * sizes[s] for s in full_ones}
+        free -= full_ones
+    target |= {s: level * weight[s] for s in free}
+    copies = []
+    for s in order:
+        mine = [(int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:8], 16) % 4096, len(t.split()), i, t) for i, t, x in cut if x == s]
+        rate = target[s] / sizes[s]
+        goal = (rate - int(rate)) * sizes[s]
+        edges = [(abs(goal), 0)] + [(abs(sum(n for b, n, _, _ in mine if b <= e) - goal), e + 1) for e in {b for b, _, _, _ in mine}]
+        edge = min(edges)[1]
+        for b, _, i, t in mine:
+            copies += [(i, t)] * (int(rate) + (b < edge))
+    tok = packing.WordTokenizer(packing.tokenizer_path())
+    want = sorted((i, len(tok.whole(t)) // 4 + 1, zlib.crc32(tok.whole(t) + (2).to_bytes(4, "little"))) for i, t in copies)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.doc_tokens, r.ids_crc32) for r in got) == want
+    docs_now = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("_size", F.lit("x"))
+    empty = docs_now.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs_now = stage(spark, docs_now, str(tmp_path))
+        assert docs_now.columns[-1] == "_size", name
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert docs_now.count() == len(copies)
+
+
+def test_chat_of_odd_trees(spark):
+    kind = "conv bigint, node bigint, parent bigint, score double, role string, text string"
+    tree = [(1, 1, None, 0.0, "user", "a"), (1, 2, 1, 1.0, "assistant", "z"), (1, 2, 1, 1.0, "assistant", "b"), (1, 2, 1, 1.0, "assistant", "b")]
+    tree += [(2, 1, 2, 0.0, "user", "x"), (2, 2, 1, 0.0, "user", "y"), (2, 3, 2, 0.0, "user", "below a cycle")]
+    df = spark.createDataFrame(tree, kind).withColumn("rank", F.lit("clash")).withColumn("pos", F.lit("clash")).withColumn("up", F.lit(1))
+    got = sorted((r.conv, r.pos, chat.read_turn(r.segment)) for r in chat.segments(df).collect())
+    assert got == [(1, 0, ("user", "a")), (1, 1, ("assistant", "b"))]
+    assert chat.segments(spark.createDataFrame([], kind)).count() == 0
+    least = -(2**63)
+    rows = docs(spark, [(least, 0, "user", "p"), (None, 0, "user", "q"), (None, 1, "assistant", "x" * 3_000_000)], "conv_id bigint, turn int, role string, text string")
+    out = {r.conv: r.n_turns for r in chat.digests(chat.segments(chat.chain(rows))).collect()}
+    assert out == {least: 1, chat.none_of(rows): 2} and chat.none_of(rows) != least
+
+
+def test_other_tokenizers_encode_whole_texts():
+    tok = packing.WordTokenizer(packing.tokenizer_path("byte_bpe_50k.json"))
+    assert not tok.known and tok.ids(["Hello  World", ""]) == [tok.whole("Hello  World"), b""]
+    assert packing.WordTokenizer(packing.tokenizer_path()).known
+
+
 def test_empty_tables(spark):
     none = docs(spark, [], DOC)
     assert jaccard.join(none).count() == 0 and jaccard.one_of_each(none).count() == 0
