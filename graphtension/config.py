@@ -19,7 +19,9 @@ class Config:
 
     ``weight_func`` and ``node_type_func`` map Columns to a Column, so they stay in generated code.
     ``threshold_func(node_id, tension)`` overrides the calibrator, which overrides ``threshold``.
-    Realtime checks look at the overlay only unless ``realtime_scope`` is ``unified``.
+    Realtime checks look at the overlay only unless ``realtime_scope`` is ``unified``. A stream hands the engine at
+    most ``channel_size`` events at once. ``topology(nodes, edges)`` gives a frame that analyses carry. Nodes of fewer
+    than ``min_degree`` edges are never anomalies.
     """
 
     divergence: Any = "jsd"
@@ -43,6 +45,8 @@ class Config:
     diffusivity_alpha: float = 0.1
     tension_spike_threshold: float = 0.3
     channel_size: int = 10_000
+    upkeep_s: float = 60.0
+    min_degree: int = 0
     cache_ttl_s: float | None = None
     base_graph: Any = None
     storage: Any = None

@@ -2,9 +2,58 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphtension.schema import STORED_NODES
+
+
+@dataclass(frozen=True)
+class GraphData:
+    """A graph as bases and stores hold it: edges, nodes with types and attributes (isolated ones too), metadata."""
+
+    edges: DataFrame
+    nodes: DataFrame | None = None
+    metadata: dict = field(default_factory=dict)
+
+
+def as_data(given: GraphData | DataFrame) -> GraphData:
+    return given if isinstance(given, GraphData) else GraphData(given)
+
+
+def _stored(nodes: DataFrame) -> DataFrame:
+    """Columns that stored nodes lack, as nulls."""
+    kinds = dict(x.split(" ", 1) for x in STORED_NODES.split(", "))
+    return nodes.select(*[(F.col(c) if c in nodes.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def stored_nodes(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """All nodes of a graph as they are kept: those of the edges and the given ones; a given type and attributes stay,
+    times are the widest."""
+    mine = _stored(nodes_of(edges))
+    if nodes is None:
+        return mine
+    both = mine.unionByName(_stored(nodes)).withColumn("given", F.when(F.col("type") != "", F.col("type")))
+    return both.groupBy("id").agg(F.coalesce(F.max("given"), F.lit("")).alias("type"), F.first("attributes", True).alias("attributes"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def isolated(edges: DataFrame, stored: DataFrame) -> DataFrame:
+    return stored.join(_ends(edges).select("id").distinct(), "id", "left_anti")
+
+
+def with_stored(nodes: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Derived nodes with attributes; a type that isn't derived, and nodes without edges, come from the stored ones."""
+    if stored is None:
+        return nodes.withColumn("attributes", F.lit(None).cast("map<string,double>"))
+    s = _stored(stored).select("id", F.col("type").alias("_t"), "attributes", F.col("first_seen").alias("_a"), F.col("last_seen").alias("_b"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
+    return nodes.join(s, "id", "full_outer").select(
+        "id", F.coalesce(F.when(F.col("type") != "", F.col("type")), F.col("_t"), F.lit("")).alias("type"), zero("degree"), zero("in_degree"), zero("out_degree"),
+        F.least("first_seen", "_a").alias("first_seen"), F.greatest("last_seen", "_b").alias("last_seen"), "attributes",
+    )
+
 
 def edges_of(events: DataFrame) -> DataFrame:
     """Fold events into one row per (src, dst); the type is that of the first event. Commutes with event order."""

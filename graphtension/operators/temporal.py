@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphtension.schema import DELTA_TYPES
+from graphtension.schema import DELTA_TYPES, DELTAS
+from graphtension.session import materialize
 
 #: A trend needs this change, a phase turns at these levels.
 TREND_STEP, RHO_CRITICAL, PI_CRITICAL, RHO_CAP, FLAT_DECAY = 0.01, 1.0, 0.5, 2.0, 0.01
@@ -34,8 +37,8 @@ def trend(now: Column, before: Column) -> Column:
 
 
 def trend_changes(history: DataFrame) -> DataFrame:
-    """Samples whose trend differs from that of the sample before."""
-    h = with_previous(history).filter("previous is not null").withColumn("trend", trend(F.col("tension"), F.col("previous")))
+    """Samples whose trend differs from that of the sample before; a node's first sample is stable."""
+    h = with_previous(history).withColumn("trend", F.coalesce(trend(F.col("tension"), F.col("previous")), F.lit(0)))
     return h.withColumn("last_trend", F.lag("trend").over(_by_node())).filter("last_trend is not null and trend <> last_trend")
 
 
@@ -82,26 +85,51 @@ def connectivity(now: DataFrame, before: DataFrame) -> DataFrame:
     return j.agg(F.coalesce(F.avg(F.coalesce("_h", F.lit(0)).cast("double")), F.lit(0.0)).alias("ratio"))
 
 
-def edge_deltas(events: DataFrame, epoch: int | None = None) -> DataFrame:
+def edge_deltas(events: DataFrame, epoch: int | None = None, overlay: DataFrame | None = None) -> DataFrame:
     """One change row per event: added at the first event of an edge (again after a compaction, if every ``epoch``
-    events one is made), else updated; with the edge's weight before and after."""
+    events one is made), else updated; with the edge's weight before and after. Edges that ``overlay`` (src, dst,
+    weight), the graph before these events, has are updated from there."""
     e = events.withColumn("_e", F.floor((F.col("seq") - 1) / epoch) if epoch else F.lit(0))
+    if overlay is not None:
+        e = e.join(overlay.select("src", "dst", F.col("weight").alias("_held")), ["src", "dst"], "left")
+    else:
+        e = e.withColumn("_held", F.lit(None).cast("double"))
     w = Window.partitionBy("_e", "src", "dst").orderBy("seq")
-    before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    first = F.row_number().over(w) == 1
+    before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)) + F.coalesce("_held", F.lit(0.0))
+    first = (F.row_number().over(w) == 1) & F.col("_held").isNull()
     kind = F.when(first, DELTA_TYPES["edge_added"]).otherwise(DELTA_TYPES["edge_updated"])
     return e.select("seq", "src", "dst", kind.alias("delta_type"), before.alias("previous"), (before + F.col("weight")).alias("current"))
 
 
-def node_deltas(events: DataFrame, epoch: int | None = None) -> DataFrame:
-    """Node-added rows at a node's first event. Both ends are looked up before the event, so a new node with a
-    self-loop is told twice."""
+def node_deltas(events: DataFrame, epoch: int | None = None, overlay: DataFrame | None = None) -> DataFrame:
+    """Node-added rows at a node's first event, unless ``overlay`` has it. Both ends are looked up before the event,
+    so a new node with a self-loop is told twice."""
     e = events.withColumn("_e", F.floor((F.col("seq") - 1) / epoch) if epoch else F.lit(0))
     ends = e.select("_e", "seq", F.explode(F.array("src", "dst")).alias("node_id"))
     first = ends.groupBy("_e", "node_id").agg(F.min("seq").alias("first"))
+    if overlay is not None:
+        first = first.join(overlay.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct(), "node_id", "left_anti")
     return ends.join(first, ["_e", "node_id"]).filter("seq = first").select("seq", "node_id", F.lit(DELTA_TYPES["node_added"]).alias("delta_type"))
 
 
+def _feed(df: DataFrame, **cols: Column) -> DataFrame:
+    kinds = dict(x.split(" ") for x in DELTAS.split(", "))
+    return df.select(*[cols.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def change_feed(events: DataFrame, overlay: DataFrame) -> DataFrame:
+    """Changes that events make to the graph before them, as rows of one schema; a row's version is its event's."""
+    n = node_deltas(events, overlay=overlay)
+    e = edge_deltas(events, overlay=overlay)
+    nodes = _feed(n, type=F.col("delta_type"), version=F.col("seq"), node_id=F.col("node_id"))
+    return nodes.unionByName(_feed(e, type=F.col("delta_type"), version=F.col("seq"), edge_from=F.col("src"), edge_to=F.col("dst"), previous=F.col("previous"), weight=F.col("current")))
+
+
+def tension_feed(samples: DataFrame, kind: str) -> DataFrame:
+    """Samples (node_id, version, tension) as changes of one kind."""
+    return _feed(samples, type=F.lit(DELTA_TYPES[kind]), version=F.col("version"), node_id=F.col("node_id"), tension=F.col("tension"))
+
+
 def compaction_epochs(events: DataFrame, threshold: int) -> DataFrame:
     """Which compaction, by volume, each event falls into, and how many events it folds."""
     return events.groupBy(F.floor((F.col("seq") - 1) / threshold).cast("bigint").alias("epoch")).agg(F.count(F.lit(1)).alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
@@ -121,11 +149,40 @@ def before_after(events: DataFrame, marks: DataFrame, seconds: int) -> DataFrame
     return j.groupBy("id").agg(F.avg(F.when(pre, F.col("weight"))).alias("pre"), F.avg(F.when(post, F.col("weight"))).alias("post"))
 
 
+#: Events of one source that are folded at once.
+CHUNK = 4096
+
+
 def relative_weight(events: DataFrame, span: int = 365) -> DataFrame:
-    """Each event's weight over the exponential mean of its source's events so far (itself included)."""
+    """Each event's weight over the exponential mean of its source's events so far (itself included).
+
+    A source's events are folded in chunks: what a chunk adds, then what goes from chunk to chunk, then the events of
+    each chunk with what came before. So no group holds more than CHUNK events, or one row for each chunk.
+    """
     a = 2.0 / (span + 1)
-    arr = F.sort_array(F.collect_list(F.struct("seq", "weight")))
-    step = lambda s, x: F.struct((F.when(F.size(s.out) == 0, x.weight).otherwise(a * x.weight + (1 - a) * s.ema)).alias("ema"), F.concat(s.out, F.array(F.struct(x.seq.alias("seq"), (F.when(F.size(s.out) == 0, x.weight).otherwise(a * x.weight + (1 - a) * s.ema)).alias("ema"), x.weight.alias("weight")))).alias("out"))
-    zero = F.struct(F.lit(0.0).alias("ema"), F.array().cast("array<struct<seq:bigint,ema:double,weight:double>>").alias("out"))
-    folded = events.groupBy("src").agg(arr.alias("a")).select("src", F.aggregate("a", zero, step)["out"].alias("o"))
-    return folded.select("src", F.explode("o").alias("x")).select("src", "x.seq", F.when(F.col("x.ema") > 0, F.col("x.weight") / F.nullif(F.col("x.ema"), F.lit(0.0))).otherwise(0.0).alias("relative"))
+    pos = F.row_number().over(Window.partitionBy("src").orderBy("seq")) - 1
+    e = materialize(events.select("src", "seq", "weight").withColumn("_i", pos).withColumn("chunk", F.floor(F.col("_i") / CHUNK).cast("bigint")), "chunks")
+
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_i")
+        w = rows["weight"].to_numpy()
+        carry = rows["carry"][0].as_py()
+        out, ema = np.empty(len(w)), carry
+        for i, x in enumerate(w.tolist()):
+            ema = x if ema is None else a * x + (1 - a) * ema
+            out[i] = ema
+        return pa.table({"src": rows["src"], "seq": rows["seq"], "chunk": rows["chunk"], "weight": rows["weight"], "ema": pa.array(out)})
+
+    kind = "src string, seq bigint, chunk bigint, weight double, ema double"
+    # from chunk to chunk: an empty start adds its share, which the number of events tells
+    ends = e.groupBy("src", "chunk").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("_i", "weight"))).alias("ws"))
+    step = lambda s, x: F.when(s.isNull(), x.weight).otherwise(a * x.weight + (1 - a) * s)
+    first = F.aggregate("ws", F.lit(None).cast("double"), step)
+    rest = F.aggregate("ws", F.lit(0.0), lambda s, x: a * x.weight + (1 - a) * s)
+    ends = ends.select("src", "chunk", F.when(F.col("chunk") == 0, first).otherwise(rest).alias("x"), F.pow(F.lit(1 - a), F.col("n")).alias("keep"))
+    by_src = ends.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("chunk", "x", "keep"))).alias("c"))
+    zero = F.struct(F.lit(0.0).alias("ema"), F.array().cast("array<double>").alias("out"))
+    run = F.aggregate("c", zero, lambda s, x: F.struct((x.x + F.when(x.chunk == 0, 0.0).otherwise(x.keep) * s.ema).alias("ema"), F.concat(s.out, F.array(x.x + F.when(x.chunk == 0, 0.0).otherwise(x.keep) * s.ema)).alias("out")))["out"]
+    carry = by_src.select("src", F.posexplode(run).alias("at", "carry")).select("src", (F.col("at") + 1).cast("bigint").alias("chunk"), "carry")
+    folded = e.join(carry, ["src", "chunk"], "left").groupBy("src", "chunk").applyInArrow(fold, kind)
+    return folded.select("src", "seq", F.when(F.col("ema") > 0, F.col("weight") / F.nullif(F.col("ema"), F.lit(0.0))).otherwise(0.0).alias("relative"))

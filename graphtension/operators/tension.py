@@ -82,6 +82,27 @@ def tension(edges: DataFrame, divergence: str | Callable[[Column, Column, Column
     return ids.join(den, "node_id", "left").join(num, "node_id", "left").select("node_id", F.coalesce(F.greatest(F.col("num"), F.lit(0.0)) / F.col("den"), F.lit(0.0)).alias("tension"))
 
 
+def smoothed_tension(edges: DataFrame, lam: float, below: int = 10) -> DataFrame:
+    """Tension over distributions that lean to the uniform one where a source has fewer than ``below`` edges: the
+    observed share counts k / (k + lam)."""
+    tot = totals(edges)
+    i = edges.select("src", "dst", "weight").join(tot, "src")
+    a = F.when(F.col("k") < below, F.col("k") / (F.col("k") + lam)).otherwise(1.0)
+    s = a * F.when(F.col("tot") > 0, F.col("weight") / F.col("tot")).otherwise(1 / F.col("k")) + (1 - a) / F.col("k")
+    return tension(i.select("src", "dst", s.alias("weight")))
+
+
+def counterfactual(edges: DataFrame) -> DataFrame:
+    """(node_id, tension): how far a node's outgoing shares lie (Jensen-Shannon) from those that its targets' strength
+    would give it, were its edges dealt anew with every node's weight kept."""
+    into = edges.groupBy("dst").agg(F.sum("weight").alias("pull"))
+    e = shares(edges).select("src", "dst", "share").join(into, "dst")
+    pulls = e.groupBy("src").agg(F.sum("pull").alias("all"), F.count(F.lit(1)).alias("k"))
+    e = e.join(pulls, "src").withColumn("q", F.when(F.col("all") > 0, F.col("pull") / F.col("all")).otherwise(1 / F.col("k")))
+    half = lambda c: F.when(F.col(c) > 0, 0.5 * F.col(c) * F.log2(2 * F.col(c) / (F.col("share") + F.col("q")))).otherwise(0.0)
+    return e.groupBy(F.col("src").alias("node_id")).agg(F.greatest(F.sum(half("share") + half("q")), F.lit(0.0)).alias("tension"))
+
+
 def tension_arrays(edges: DataFrame, compute: Callable) -> DataFrame:
     """The literal definition for a Python ``compute(p, q) -> float`` over whole distributions.
 

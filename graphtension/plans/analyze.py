@@ -15,6 +15,7 @@ from graphtension.operators.graph import nodes_of, undirected
 from graphtension.operators.hops import concealment, fiedler_approx, velocity
 from graphtension.operators.spectral import fiedler_value
 from graphtension.operators.tension import DIVERGENCES, tension, tension_arrays
+from graphtension.session import bytes_in, discard, materialize
 
 
 @dataclass
@@ -27,6 +28,31 @@ class Results:
     curvature: DataFrame | None = None
     temporal: DataFrame | None = None
 
+    topology: DataFrame | None = None
+
+    def settled(self) -> Results:
+        """All parts computed, as tables in the shared folder that outlive the snapshot and executors."""
+        if self.written:
+            return self
+        parts = {c: materialize(df, c) if (df := getattr(self, c)) is not None else None for c in ("tensions", "stats", "detectability", "curvature", "temporal", "topology")}
+        return Results(**parts)
+
+    def _tables(self) -> list[DataFrame]:
+        return [df for df in (self.tensions, self.stats, self.detectability, self.curvature, self.temporal, self.topology) if getattr(df, "_written", None)]
+
+    @property
+    def written(self) -> bool:
+        return getattr(self.tensions, "_written", None) is not None
+
+    def size(self) -> int:
+        """Bytes of what is written."""
+        return sum(bytes_in(df.sparkSession, df._written) for df in self._tables())
+
+    def unpersist(self) -> None:
+        """Delete what settled() wrote."""
+        for df in self._tables():
+            discard(df)
+
     @property
     def anomalies(self) -> DataFrame:
         return self.tensions.filter("anomaly")
@@ -52,6 +78,8 @@ def _scored(edges: DataFrame, t: DataFrame, config: Config, curv: DataFrame | No
     else:
         out = out.withColumn("concealment", F.lit(0.0))
     flag = stats.is_anomaly(F.col("tension"), F.col("node_id"), config.threshold, config.calibrator, config.threshold_func)
+    if config.min_degree:
+        flag = flag & (F.col("degree") >= config.min_degree)
     return out.select(
         "node_id", "tension", "degree", "curvature", flag.alias("anomaly"), stats.confidence(F.col("degree")).alias("confidence"), "concealment",
         F.lit(0).alias("trend"), stats.components(F.col("tension"), F.col("curvature"), F.col("concealment")).alias("components"),
@@ -62,8 +90,9 @@ def _curvature(edges: DataFrame, config: Config) -> DataFrame | None:
     return curvature_of(edges, config.curvature_func, config.curvature_alpha) if config.curvature_alpha > 0 else None
 
 
-def analyze(edges: DataFrame, config: Config | None = None, previous: DataFrame | None = None, dt: float = 0.0) -> Results:
-    """All nodes. ``previous`` (node_id, tension), taken ``dt`` seconds before, adds trends and the temporal block."""
+def analyze(edges: DataFrame, config: Config | None = None, previous: DataFrame | None = None, dt: float = 0.0, spectral: bool = False) -> Results:
+    """All nodes. ``previous`` (node_id, tension), taken ``dt`` seconds before, adds trends and the temporal block,
+    with the bound on algebraic connectivity or (``spectral``) its value. ``config.topology`` adds its frame."""
     config = config or Config()
     t = tension_of(edges, config.divergence)
     curv = _curvature(edges, config)
@@ -74,20 +103,22 @@ def analyze(edges: DataFrame, config: Config | None = None, previous: DataFrame
     block = None
     if previous is not None:
         rows = rows.drop("trend").join(previous.select("node_id", F.col("tension").alias("_p")), "node_id", "left").withColumn("trend", F.when(F.col("_p").isNull(), 0).otherwise(temporal.trend(F.col("tension"), F.col("_p")))).drop("_p")
-        block = temporal_block(edges, t, previous, dt, config)
-    return Results(rows, stats.result_stats(rows), stats.detectability(rows, config.detectability_alpha), curv, block)
+        block = temporal_block(edges, t, previous, dt, config, spectral)
+    shape = config.topology(nodes_of(edges), edges) if config.topology is not None else None
+    return Results(rows, stats.result_stats(rows), stats.detectability(rows, config.detectability_alpha), curv, block, shape)
 
 
-def temporal_block(edges: DataFrame, now: DataFrame, previous: DataFrame, dt: float, config: Config, spectral: bool = True) -> DataFrame:
-    ind = temporal.indicators(now, previous, dt)
+def temporal_block(edges: DataFrame, now: DataFrame, previous: DataFrame, dt: float, config: Config, spectral: bool = False, curvature: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row of indicators; ``curvature`` (now, before) feeds the curvature shock. No velocity under three nodes."""
+    ind = temporal.indicators(now, previous, dt, *(curvature or ()))
     ratio = temporal.connectivity(now, previous)
-    length = edges.agg(F.coalesce(F.avg("weight"), F.lit(0.0)).alias("length"))
+    length = edges.agg(F.coalesce(F.avg("weight"), F.lit(1.0)).alias("length"))
     lam = (fiedler_value(edges) if spectral else fiedler_approx(edges)).withColumnRenamed("value", "lam")
-    out = ind.join(ratio).join(length).join(lam)
+    out = ind.join(ratio).join(length).join(lam).join(now.agg(F.count(F.lit(1)).alias("n")))
     out = out.withColumn("phase_rho", temporal.rho(F.col("tension_spike"), F.col("decay_exponent"), F.col("mean"))).withColumn("phase_pi", temporal.pi(F.col("ratio")))
     return out.select(
         "tension_spike", "decay_exponent", "curvature_shock", temporal.phase(F.col("phase_rho"), F.col("phase_pi")).alias("phase"), "phase_rho", "phase_pi",
-        velocity(F.lit(config.diffusivity_alpha), F.col("lam"), F.col("length")).alias("velocity"),
+        F.when(F.col("n") >= 3, velocity(F.lit(config.diffusivity_alpha), F.col("lam"), F.col("length"))).otherwise(0.0).alias("velocity"),
     )
 
 

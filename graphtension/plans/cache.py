@@ -1,7 +1,8 @@
-"""Results by version and question, with a time to live."""
+"""Results by version and question, with a time to live. What is held is computed: rows, or written tables."""
 
 from __future__ import annotations
 
+import sys
 import time
 from typing import Any
 
@@ -48,4 +49,5 @@ class ResultCache:
 
     def stats(self) -> dict:
         asked = self.hits + self.misses
-        return {"entries": len(self.held), "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0}
+        size = sum(v.size() if hasattr(v, "size") else sys.getsizeof(v) for _, v in self.held.values())
+        return {"entries": len(self.held), "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / asked if asked else 0.0, "bytes": size}

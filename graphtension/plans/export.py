@@ -14,7 +14,8 @@ def _or_none(c: str) -> Column:
 
 def json_nodes(nodes: DataFrame) -> DataFrame:
     """Empty types are left out; times are never exported."""
-    return nodes.select(F.to_json(F.struct("id", _or_none("type").alias("type"), "degree", "in_degree", "out_degree")).alias("line"))
+    more = [F.when(F.size("attributes") > 0, F.col("attributes")).alias("attributes")] if "attributes" in nodes.columns else []
+    return nodes.select(F.to_json(F.struct("id", _or_none("type").alias("type"), "degree", "in_degree", "out_degree", *more)).alias("line"))
 
 
 def json_edges(edges: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def _xml(c: str) -> Column:
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.lit(1).alias("part"), F.concat(F.lit('    <node id="'), _xml("id"), F.lit('"/>')).alias("line"))
     e = edges.select(F.lit(2).alias("part"), F.concat(F.lit('    <edge source="'), _xml("src"), F.lit('" target="'), _xml("dst"), F.lit('"><data key="w">'), F.col("weight").cast("string"), F.lit("</data></edge>")).alias("line"))
-    head = '<graphml xmlns="http://graphml.graphdrafts.org/xmlns">\n  <key id="w" for="edge" attr.name="weight" attr.type="double"/>\n  <graph edgedefault="directed">'.replace("graphdrafts", "graphdrawing")
+    head = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n  <key id="w" for="edge" attr.name="weight" attr.type="double"/>\n  <graph edgedefault="directed">'
     return nodes.sparkSession.createDataFrame([(0, head), (3, "  </graph>\n</graphml>")], "part int, line string").unionByName(n).unionByName(e)
 
 
@@ -58,12 +59,28 @@ def gexf_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.sparkSession.createDataFrame(frame, "part int, line string").unionByName(n).unionByName(e)
 
 
+def json_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, line): one JSON document of nodes and edges in order of (part, line); an empty list is null."""
+    frame, out = [], None
+    for i, (name, rows) in enumerate((("nodes", json_nodes(nodes)), ("edges", json_edges(edges)))):
+        first = rows.agg(F.min("line")).first()[0]
+        lead, tail = ('{"nodes": ' if not i else ', "edges": '), ("}" if i else "")
+        if first is None:
+            frame.append((3 * i, f"{lead}null{tail}"))
+            continue
+        frame += [(3 * i, f"{lead}["), (3 * i + 2, f"]{tail}")]
+        # repeated lines can't be: an id, or a pair, is there once
+        body = rows.select(F.lit(3 * i + 1).alias("part"), "line", (F.col("line") == first).alias("first"))
+        out = body if out is None else out.unionByName(body)
+    ends = nodes.sparkSession.createDataFrame(frame, "part int, line string").withColumn("first", F.lit(True))
+    return ends if out is None else ends.unionByName(out)
+
+
 def export(nodes: DataFrame, edges: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write an export under ``path``. JSON goes to two folders of lines, as Spark reads them; the others to one
-    folder of text in order, in as many files as the order needs."""
+    """Write an export under ``path``: one folder of text, whose files in order are one document."""
     if fmt == "json":
-        json_nodes(nodes).write.text(f"{path}/nodes")
-        json_edges(edges).write.text(f"{path}/edges")
+        lines = json_lines(nodes, edges).orderBy("part", "line")
+        lines.select(F.when(F.col("first"), F.col("line")).otherwise(F.concat(F.lit(","), "line")).alias("value")).write.text(path)
         return
     kinds = {"dot": dot_lines, "graphml": graphml_lines, "gexf": gexf_lines}
     if fmt not in kinds:

@@ -143,12 +143,12 @@ cut AS (SELECT count(*) AS c FROM und WHERE v <> n AND v IN (SELECT id FROM s) A
     "tension_lag": w(EV2, HIST) + f"SELECT node_id, version, {R.format('tension', 'tension')}, {R.format('lag(tension) OVER (PARTITION BY node_id ORDER BY version)', 'previous')} FROM history",
     "history_latest": w(EV2, HIST) + f"SELECT node_id, max(version) AS version, {R.format('arg_max(tension, version)', 'tension')} FROM history GROUP BY node_id",
     "history_ring": w(EV2, HIST) + f"SELECT node_id, version, {R.format('tension', 'tension')} FROM history QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY version DESC) <= 3",
-    "history_slice": w(EV2, HIST) + "SELECT node_id, string_agg(version::VARCHAR, ',' ORDER BY version) AS versions, count(*) AS n FROM history GROUP BY node_id",
+    "history_slice": w(EV2, HIST) + f"SELECT node_id, count(*) AS n, {R.format('arg_min(tension, version)', 'oldest')}, {R.format('arg_max(tension, version)', 'newest')} FROM history GROUP BY node_id",
     "tension_spikes": w(EV2, HIST) + f"SELECT node_id, version, {R.format('d', 'delta')} FROM (SELECT node_id, version, abs(tension - lag(tension) OVER (PARTITION BY node_id ORDER BY version)) AS d FROM history) WHERE d > 0.01",
     "delta_nodes": w(EV1) + "SELECT seq, node_id, 0 AS delta_type FROM (SELECT seq, src AS node_id FROM ev UNION ALL SELECT seq, dst FROM ev) QUALIFY seq = min(seq) OVER (PARTITION BY node_id)",
     "delta_edges": w(EV1) + "SELECT seq, src, dst, CASE WHEN row_number() OVER w = 1 THEN 3 ELSE 4 END AS delta_type, round(coalesce(sum(weight) OVER (PARTITION BY src, dst ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS previous FROM ev WINDOW w AS (PARTITION BY src, dst ORDER BY seq)",
     "delta_edges_epochs": w(EV1) + "SELECT seq, src, dst, CASE WHEN row_number() OVER (PARTITION BY (seq - 1) // 500, src, dst ORDER BY seq) = 1 THEN 3 ELSE 4 END AS delta_type FROM ev WHERE seq > 0",
-    "delta_trend_changed": w(EV2, HIST, f"t AS (SELECT node_id, version, {TREND.format('d')} AS trend FROM (SELECT node_id, version, tension - lag(tension) OVER (PARTITION BY node_id ORDER BY version) AS d FROM history) WHERE d IS NOT NULL)") + "SELECT node_id, version, trend, last_trend FROM (SELECT *, lag(trend) OVER (PARTITION BY node_id ORDER BY version) AS last_trend FROM t) WHERE last_trend IS NOT NULL AND trend <> last_trend",
+    "delta_trend_changed": w(EV2, HIST, f"t AS (SELECT node_id, version, coalesce({TREND.format('d')}, 0) AS trend FROM (SELECT node_id, version, tension - lag(tension) OVER (PARTITION BY node_id ORDER BY version) AS d FROM history))") + "SELECT node_id, version, trend, last_trend FROM (SELECT *, lag(trend) OVER (PARTITION BY node_id ORDER BY version) AS last_trend FROM t) WHERE last_trend IS NOT NULL AND trend <> last_trend",
     "top_k_tension": w(*T2) + f"SELECT node_id, {R.format('tension', 'tension')} FROM tension ORDER BY tension.tension DESC, node_id LIMIT 10",
     "engine_stats": w(EV1, LAYERS) + "SELECT (SELECT count(*) FROM bn) + (SELECT count(*) FROM oon) AS nodes, (SELECT count(*) FROM base) + (SELECT count(*) FROM over) AS edges, (SELECT count(*) FROM (SELECT id FROM bn UNION SELECT id FROM oon)) AS distinct_nodes, (SELECT count(*) FROM ev WHERE seq % 3 <> 0) AS overlay_events",
     "enum_names": "SELECT * FROM (VALUES ('phase', 0, 'FullRecovery'), ('phase', 1, 'ScarredRecovery'), ('phase', 2, 'ChronicTension'), ('phase', 3, 'StructuralCollapse'), ('phase', 4, 'Phase(4)'), ('region', 0, 'Undetectable'), ('region', 1, 'WeaklyDetectable'), ('region', 2, 'StronglyDetectable'), ('region', 3, 'DetectabilityRegion(3)'), ('region', 4, 'DetectabilityRegion(4)'), ('trend', 0, 'Stable'), ('trend', 1, 'Increasing'), ('trend', 2, 'Decreasing'), ('trend', 3, 'Trend(3)'), ('trend', 4, 'Trend(4)')) t(kind, code, name)",
@@ -170,6 +170,26 @@ UNION ALL SELECT s_suppkey, 's:' || s_suppkey, 'n:' || s_nationkey, 1.0, 'of', T
     "triage_score": w(*T2, NODES, "x AS (SELECT node_id, (tension - min(tension) OVER ()) / (max(tension) OVER () - min(tension) OVER ()) AS a, (degree - min(degree) OVER ()) / (max(degree) OVER () - min(degree) OVER ()) AS b FROM tension JOIN nodes ON id = node_id)") + f"SELECT node_id, {R.format('0.6 * a + 0.4 * b', 'score')} FROM x WHERE 0.6 * a + 0.4 * b >= 0.3",
     "co_occurrence_edges": w(EV2, EDGES, "t AS (SELECT src, dst FROM edges WHERE src LIKE 't:%')") + "SELECT a.src AS a, b.src AS b, count(DISTINCT a.dst) AS shared FROM t a JOIN t b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2",
     "co_occurrence_all": w(EV2, EDGES) + "SELECT a.src AS a, b.src AS b, count(DISTINCT a.dst) AS shared FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2",
-    "betti": w(*N2, UND) + "SELECT 1::BIGINT AS beta0, ((SELECT count(*) FROM und WHERE v < n) - (SELECT count(*) FROM nodes) + 1)::BIGINT AS beta1",
+    "betti": "WITH RECURSIVE " + w(*N2, UND)[5:].rstrip() + """, rc AS (SELECT id, id AS r FROM nodes UNION SELECT und.n, rc.r FROM rc JOIN und ON und.v = rc.id), lab AS (SELECT id, min(r) AS c FROM rc GROUP BY id)
+SELECT count(DISTINCT c)::BIGINT AS beta0, ((SELECT count(*) FROM und WHERE v < n) - count(*) + count(DISTINCT c))::BIGINT AS beta1 FROM lab""",
     "pre_post_windows": w(EV2, "m AS (SELECT seq AS id, src, ts FROM ev WHERE src LIKE 'u:%' AND type = 'error')") + f"SELECT m.id, {R.format('avg(e.weight) FILTER (e.ts < m.ts)', 'pre')}, {R.format('avg(e.weight) FILTER (e.ts > m.ts)', 'post')} FROM m LEFT JOIN ev e ON e.src = m.src AND e.ts >= m.ts - INTERVAL 86400 SECOND AND e.ts <= m.ts + INTERVAL 86400 SECOND GROUP BY m.id",
+    "engine_edges": w(EV1, BASE, f"m AS ({MERGE.format('o', 'b')})") + f"SELECT {EDGE} FROM m",
+    "export_graphml_lines": w(*G2, NODES) + """SELECT 0 AS part, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">' || chr(10) || '  <key id="w" for="edge" attr.name="weight" attr.type="double"/>' || chr(10) || '  <graph edgedefault="directed">' AS line
+UNION ALL SELECT 1, '    <node id="' || id || '"/>' FROM nodes UNION ALL SELECT 2, '    <edge source="' || src || '" target="' || dst || '"><data key="w">' || cnt || '.0</data></edge>' FROM edges UNION ALL SELECT 3, '  </graph>' || chr(10) || '</graphml>'""",
+    "export_gexf_lines": w(*G2, NODES) + """SELECT 0 AS part, '<gexf version="1.3">' || chr(10) || '  <graph defaultedgetype="directed">' || chr(10) || '    <nodes>' AS line UNION ALL SELECT 1, '      <node id="' || id || '" label="' || id || '"/>' FROM nodes
+UNION ALL SELECT 2, '    </nodes>' || chr(10) || '    <edges>' UNION ALL SELECT 3, '      <edge source="' || src || '" target="' || dst || '" weight="' || cnt || '.0"/>' FROM edges UNION ALL SELECT 4, '    </edges>' || chr(10) || '  </graph>' || chr(10) || '</gexf>'""",
+    "relative_weight": """WITH RECURSIVE e AS (SELECT 'u:' || user_id AS src, event_id AS seq, value AS weight, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+m AS (SELECT src, seq, weight, i, weight AS ema FROM e WHERE i = 1 UNION ALL SELECT e.src, e.seq, e.weight, e.i, 2.0 / 366 * e.weight + (1 - 2.0 / 366) * m.ema FROM m JOIN e ON e.src = m.src AND e.i = m.i + 1)
+SELECT src, seq, round(CASE WHEN ema > 0 THEN weight / ema ELSE 0 END, 6) + 0.0 AS relative FROM m""",
+    "tension_sessions": w(EV2) + """SELECT epoch_us(min(ts)) AS start_us, src, dst, round(sum(weight), 4) AS weight, count(*) AS cnt FROM (SELECT *, sum(new) OVER (PARTITION BY src, dst ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g
+FROM (SELECT *, (ts >= lag(ts) OVER (PARTITION BY src, dst ORDER BY ts) + INTERVAL 6 HOUR)::INT AS new FROM ev)) GROUP BY src, dst, coalesce(g, 0)""",
+    "low_degree": w(*T2, NODES) + "SELECT node_id, degree::BIGINT AS degree, degree < 8 AS insufficient, tension > 0.05 AND degree >= 8 AS anomaly FROM tension JOIN nodes ON id = node_id",
+    "tension_smoothed": w(*G2, """so AS (SELECT src, sum(weight) AS tot, count(*) AS k FROM edges GROUP BY src), sm AS (SELECT src, dst, CASE WHEN k < 10 THEN k / (k + 2.0) ELSE 1 END * (CASE WHEN tot > 0 THEN weight / tot ELSE 1.0 / k END) + (1 - CASE WHEN k < 10 THEN k / (k + 2.0) ELSE 1 END) / k AS weight FROM edges JOIN so USING (src))""", tension("jsd", "sm")) + f"SELECT node_id, {R.format('tension', 'tension')} FROM tension",
+    "tension_counterfactual": w(*G2, """cp AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM edges), ci AS (SELECT dst, sum(weight) AS pull FROM edges GROUP BY dst),
+cq AS (SELECT src, p, pull / sum(pull) OVER (PARTITION BY src) AS q FROM cp JOIN ci USING (dst))""") + f"SELECT src AS node_id, {R.format('greatest(sum(0.5 * p * log2(2 * p / (p + q)) + 0.5 * q * log2(2 * q / (p + q))), 0)', 'tension')} FROM cq GROUP BY src",
+    "mad_sketch": w(*T2, "med AS (SELECT quantile_disc(tension, 0.5) AS median FROM tension), mad AS (SELECT quantile_disc(abs(tension - median), 0.5) AS mad FROM tension, med)") + f"SELECT {R.format('median', 'median')}, {R.format('mad', 'mad')}, {R.format('median + 3 * mad', 'threshold')} FROM med, mad",
+    "divergence_arrays": w(*G2, """dp AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p, 1.0 / count(*) OVER (PARTITION BY src) AS q FROM edges WHERE src LIKE 'u:%'),
+dr AS (SELECT *, (p + q) / 2 AS m, sum(p - q) OVER (PARTITION BY src ORDER BY dst) AS run FROM dp)""") + f"SELECT src, {R.format('sum(0.5 * CASE WHEN p > 0 THEN (p + 1e-12) * log2((p + 1e-12) / (m + 1e-12)) ELSE 0 END + 0.5 * (q + 1e-12) * log2((q + 1e-12) / (m + 1e-12)))', 'jsd')}, {R.format('sum(CASE WHEN p > 0 THEN (p + 1e-12) * log2((p + 1e-12) / (q + 1e-12)) ELSE 0 END)', 'kl')}, {R.format('sqrt(sum((sqrt(p) - sqrt(q)) ** 2) / 2)', 'hellinger')}, {R.format('sum(abs(run))', 'wasserstein')} FROM dr GROUP BY src",
+    "analyze_curved": w(*T2, NODES, UND, """deg AS (SELECT v, count(*) AS d FROM und GROUP BY v), cv AS (SELECT src, dst, (4 - a.d - b.d)::DOUBLE AS c FROM edges JOIN deg a ON a.v = src JOIN deg b ON b.v = dst), nc AS (SELECT id, avg(c) AS c FROM (SELECT src AS id, c FROM cv UNION ALL SELECT dst, c FROM cv WHERE dst <> src) GROUP BY id),
+co AS (SELECT t.node_id, t.tension + coalesce(sum(x.tension * exp(-0.5)), 0) AS o FROM tension t LEFT JOIN und ON v = t.node_id AND n <> v LEFT JOIN tension x ON x.node_id = n GROUP BY t.node_id, t.tension)""") + f"SELECT t.node_id, {R.format('t.tension', 'tension')}, {R.format('nc.c', 'curvature')}, {R.format('o', 'concealment')}, t.tension > 0.05 AND degree >= 8 AS anomaly, {R.format('o', 'part')} FROM tension t JOIN nodes ON nodes.id = t.node_id JOIN nc ON nc.id = t.node_id JOIN co ON co.node_id = t.node_id",
 }

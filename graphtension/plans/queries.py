@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 
 from graphtension import schema
 from graphtension.config import Config
+from graphtension.functions import divergence
 from graphtension.functions.names import name_of
 from graphtension.operators import curvature, graph, hops, spectral, stats, temporal, tension
 from graphtension.plans import analyze, export
-from graphtension.session import materialize
+from graphtension.plans.engine import Engine, ParquetStorage
+from graphtension.session import checkpoint_dir, materialize
 from graphtension.sources import events as source
 from graphtension.streaming import live
 
@@ -116,7 +120,9 @@ def node_type_prefix(s, d):
 
 @query
 def storage_roundtrip(s, d):
-    return edge_cols(materialize(e2(s, d), "stored"))
+    store = ParquetStorage(f"{checkpoint_dir(s)}/store-{uuid.uuid4().hex}")
+    store.save(graph.GraphData(e2(s, d)))
+    return edge_cols(ParquetStorage(store.path).load(s).edges)
 
 
 @query
@@ -221,14 +227,24 @@ def compaction_epochs(s, d):
     return temporal.compaction_epochs(source.transitions(s, d).filter("seq > 0"), 1000)
 
 
+def _engine(s: SparkSession, d: str, config: Config) -> Engine:
+    """An engine whose base has a third of the events, and whose log has the others."""
+    ev = source.transitions(s, d)
+    engine = Engine(s, f"{checkpoint_dir(s)}/engine-{uuid.uuid4().hex}", replace(config, base_graph=layers(ev)[0], compaction_strategy="manual", upkeep_s=0))
+    engine.add_frame(ev.filter("seq % 3 <> 0").withColumn("metadata", F.lit(None).cast("map<string,string>")))
+    return engine
+
+
 @query
 def engine_stats(s, d):
-    ev = source.transitions(s, d)
-    base, over = layers(ev)
-    b, o = graph.counts(base).withColumnsRenamed({"nodes": "bn", "edges": "be"}), graph.counts(over)
-    both = graph.counts(graph.merge_edges(base, over)).select(F.col("nodes").alias("distinct_nodes"))
-    n = ev.filter("seq % 3 <> 0").agg(F.count(F.lit(1)).alias("overlay_events"))
-    return b.join(o).join(both).join(n).select((F.col("bn") + F.col("nodes")).alias("nodes"), (F.col("be") + F.col("edges")).alias("edges"), "distinct_nodes", "overlay_events")
+    told = _engine(s, d, Config()).stats()
+    names = ("nodes", "edges", "distinct_nodes", "overlay_events")
+    return s.createDataFrame([tuple(told[c] for c in names)], ", ".join(f"{c} bigint" for c in names))
+
+
+@query
+def engine_edges(s, d):
+    return edge_cols(_engine(s, d, Config()).snapshot().edges)
 
 
 def _ids(s: SparkSession, ids: list[str]) -> DataFrame:
@@ -242,10 +258,8 @@ def bfs_hops(s, d):
 
 @query
 def co_occurrence_edges(s, d):
-    t = e2(s, d).filter("src like 't:%'").select("src", "dst")
-    # few sources share each target, so the pairs of a target stay few; the side is the node types
-    a, b = t.select(F.col("src").alias("a"), "dst"), t.select(F.col("src").alias("b"), "dst")
-    return a.join(b, "dst").filter("a < b").groupBy("a", "b").agg(F.count_distinct("dst").alias("shared"))
+    """One side of the graph only: which event types share users. co_occurrence_all takes all sources."""
+    return graph.co_occurrence(e2(s, d).filter("src like 't:%'"))
 
 
 @query
@@ -308,7 +322,7 @@ def anomaly_mad(s, d):
 @query
 def anomaly_priority(s, d):
     t = t2(s, d)
-    cal = stats.MadCalibrator(warmup=1).fit(t)
+    cal = stats.MadCalibrator(warmup=1).recalibrate(t)
     x, n = F.col("tension"), F.col("node_id")
     func = lambda _, v: v > 0.03
     return t.select("node_id", stats.is_anomaly(x, n, 0.05, cal, func).alias("by_func"), stats.is_anomaly(x, n, 0.05, cal).alias("by_calibrator"), stats.is_anomaly(x, n, 0.05, stats.MadCalibrator()).alias("by_static"))
@@ -494,8 +508,8 @@ def history_ring(s, d):
 
 @query
 def history_slice(s, d):
-    h = history(s, d).groupBy("node_id").agg(F.sort_array(F.collect_list("version")).alias("v"))
-    return h.select("node_id", F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("versions"), F.size("v").cast("bigint").alias("n"))
+    h = temporal.series(history(s, d))
+    return h.select("node_id", F.size("tensions").cast("bigint").alias("n"), r6(F.element_at("tensions", 1), "oldest"), r6(F.element_at("tensions", -1), "newest"))
 
 
 @query
@@ -647,3 +661,56 @@ def sniper_gap(s, d):
 def triage_score(s, d):
     rows = t2(s, d).join(n2(s, d).select(F.col("id").alias("node_id"), F.col("degree").cast("double").alias("degree")), "node_id")
     return stats.triage(rows, {"tension": 0.6, "degree": 0.4}, 0.3).select("node_id", r6("score"))
+
+
+@query
+def tension_sessions(s, d):
+    w = live.session_edges(source.bipartite(s, d), "6 hours")
+    return w.select(us("start", "start_us"), "src", "dst", F.round("weight", 4).alias("weight"), "cnt")
+
+
+@query
+def low_degree(s, d):
+    rows = t2(s, d).join(n2(s, d).select(F.col("id").alias("node_id"), "degree"), "node_id").withColumn("anomaly", F.col("tension") > 0.05)
+    return stats.low_degree(rows, 8).select("node_id", "degree", "insufficient", "anomaly")
+
+
+@query
+def tension_smoothed(s, d):
+    return tension.smoothed_tension(e2(s, d), 2.0).select("node_id", r6("tension"))
+
+
+@query
+def tension_counterfactual(s, d):
+    return tension.counterfactual(e2(s, d)).select("node_id", r6("tension"))
+
+
+@query
+def mad_sketch(s, d):
+    return stats.mad_threshold(t2(s, d), accuracy=1_000_000).select(r6("median"), r6("mad"), r6("threshold"))
+
+
+@query
+def divergence_arrays(s, d):
+    """Each source's out-shares against uniform ones, by the four array expressions."""
+    p = F.transform(F.sort_array(F.collect_list(F.struct("dst", "weight"))), lambda x: x.weight)
+    rows = e2(s, d).filter("src like 'u:%'").groupBy("src").agg(p.alias("w"))
+    rows = rows.select("src", divergence.normalize(F.col("w")).alias("p"), divergence.normalize(F.transform("w", lambda x: F.lit(0.0))).alias("q"))
+    kinds = {"jsd": divergence.jsd, "kl": divergence.kl, "hellinger": divergence.hellinger, "wasserstein": divergence.wasserstein}
+    return rows.select("src", *[r6(f(F.col("p"), F.col("q")), k) for k, f in kinds.items()])
+
+
+@query
+def analyze_curved(s, d):
+    """Curvature and concealment on, a minimum degree, a custom curvature."""
+    config = Config(threshold=0.05, curvature_func=lambda x, y: 4 - x - y, concealment_lambda=0.5, concealment_hops=1, min_degree=8)
+    out = analyze.analyze(e2(s, d), config).tensions
+    return out.select("node_id", r6("tension"), r6("curvature"), r6("concealment"), "anomaly", r6(F.col("components")["concealment"], "part"))
+
+
+@query
+def temporal_full(s, d):
+    """The temporal block with velocity and curvature shock."""
+    curv = lambda i: curvature.curvature_of(graph.edges_of(source.bipartite(s, d).filter(F.col("seq") % 5 <= i)), lambda x, y: 4 - x - y)
+    out = analyze.temporal_block(e2(s, d), sample(s, d, 4), sample(s, d, 1), 60.0, Config(), curvature=(curv(4), curv(1)))
+    return out.select(r6("tension_spike"), r6("curvature_shock"), "phase", r6("velocity"))

@@ -3,8 +3,9 @@
 EVENTS = "seq bigint, src string, dst string, type string, weight double, ts timestamp, metadata map<string,string>"
 EDGES = "src string, dst string, weight double, type string, cnt bigint, first_seen timestamp, last_seen timestamp"
 NODES = "id string, type string, degree bigint, in_degree bigint, out_degree bigint, first_seen timestamp, last_seen timestamp"
+STORED_NODES = "id string, type string, attributes map<string,double>, first_seen timestamp, last_seen timestamp"
 HISTORY = "node_id string, version bigint, ts timestamp, tension double"
-DELTAS = "type int, version bigint, node_id string, edge_from string, edge_to string, tension double, previous double"
+DELTAS = "type int, version bigint, node_id string, edge_from string, edge_to string, tension double, previous double, weight double"
 
 #: Codes and names, fixed values of the public data model.
 TRENDS = {0: "Stable", 1: "Increasing", 2: "Decreasing"}

@@ -10,12 +10,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from graphtension.config import Config
+from graphtension.operators.graph import running
 from graphtension.plans.engine import Engine
+from graphtension.session import discard, materialize
 
 
-def into_engine(stream: DataFrame, engine: Engine, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch of event rows (the order is that of ``seq``); ``processAllAvailable`` drains."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: engine.add_frame(df)).start()
+#: Chunks of one micro-batch that a batch's number leaves room for.
+MOST_CHUNKS = 1 << 20
+
+
+def into_engine(stream: DataFrame, engine: Engine, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """Append each micro-batch of event rows (the order is that of ``seq``); ``processAllAvailable`` drains.
+
+    A micro-batch goes in as chunks of at most the engine's ``channel_size`` events, so a fast source can't flood a
+    version; the source's own limits (``source_limits``) bound what a trigger reads. A chunk that is in the log, of a
+    batch that is run again, is passed over: each event counts once. ``name`` tells streams into one engine apart.
+    """
+    name = name or checkpoint
+
+    def add(df: DataFrame, batch: int) -> None:
+        held = materialize(df.coalesce(1) if df.isEmpty() else df, "batch")
+        n, size = held.count(), engine.config.channel_size
+        if n <= size:
+            engine.add_frame(held, name, batch * MOST_CHUNKS)
+        else:
+            placed = materialize(running(held.withColumn("_key", F.struct(*[c for c in held.columns if not c.startswith("metadata")])), "_key", {"_at": F.lit(1).cast("bigint")}).drop("_key"), "batch")
+            for i in range(-(-n // size)):
+                engine.add_frame(placed.filter((F.col("_at") >= i * size) & (F.col("_at") < (i + 1) * size)).drop("_at"), name, batch * MOST_CHUNKS + i)
+            discard(placed)
+        discard(held)
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add).start()
+
+
+def source_limits(config: Config, rows_per_file: int = 1000) -> dict[str, str]:
+    """Reader options by which sources hand over at most about ``channel_size`` events a trigger."""
+    return {"maxOffsetsPerTrigger": str(config.channel_size), "maxFilesPerTrigger": str(max(1, config.channel_size // rows_per_file))}
 
 
 def edge_stream(stream: DataFrame) -> DataFrame:
@@ -29,6 +60,12 @@ def windowed_edges(events: DataFrame, length: str = "1 day", slide: str | None =
     return events.groupBy(w.alias("w"), "src", "dst").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("start"), "src", "dst", "weight", "cnt")
 
 
+def session_edges(events: DataFrame, gap: str = "1 hour") -> DataFrame:
+    """Edges of each session: an edge's events that follow each other within ``gap``; batch or stream."""
+    w = F.session_window("ts", gap)
+    return events.groupBy(w.alias("w"), "src", "dst").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("start"), "src", "dst", "weight", "cnt")
+
+
 class LiveGraph:
     """One graph under events one by one. A node's tension takes one step for each neighbour."""
 

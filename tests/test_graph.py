@@ -83,6 +83,71 @@ def test_curvature_and_spectrum(spark):
     assert (b.beta0, b.beta1) == (1, 2)
 
 
+def plain_curvature(rows, x, y, alpha):
+    """The definition: lazy walks of both ends, hop distances by search, entropic transport by plain loops."""
+    near = {}
+    for a, b, _ in rows:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def walk(v):
+        mass = {v: alpha}
+        for n in near[v]:
+            mass[n] = mass.get(n, 0) + (1 - alpha) / len(near[v])
+        return mass
+
+    def far(a):
+        seen, edge, d = {a: 0}, [a], 0
+        while edge:
+            d += 1
+            edge = [n for v in edge for n in near[v] if n not in seen and not seen.setdefault(n, d) < d]
+        return seen
+
+    mu, nu = walk(x), walk(y)
+    ids = sorted({x, y} | near[x] | near[y])
+    cost = {(i, j): float(far(i)[j]) for i in ids for j in ids}
+    kern = {k: math.exp(-c / 0.1) for k, c in cost.items()}
+    u, v = dict.fromkeys(ids, 1.0), dict.fromkeys(ids, 1.0)
+    for _ in range(100):
+        for j in ids:
+            d = sum(kern[i, j] * u[i] for i in ids)
+            v[j] = nu.get(j, 0) / d if d > 1e-300 else 0.0
+        for i in ids:
+            d = sum(kern[i, j] * v[j] for j in ids)
+            u[i] = mu.get(i, 0) / d if d > 1e-300 else 0.0
+    return 1 - sum(u[i] * kern[i, j] * v[j] * cost[i, j] for i in ids for j in ids)
+
+
+def test_curvature_and_fiedler_are_their_definitions(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"n{a}", f"n{b}", float(rng.integers(1, 4))) for a, b in {tuple(rng.integers(0, 9, 2).tolist()) for _ in range(20)}]
+    e = edges(spark, rows)
+    got = {(r.src, r.dst): r.curvature for r in curvature.edge_curvature(e, 0.5).collect()}
+    want = {(a, b): plain_curvature(rows, a, b, 0.5) for a, b, _ in rows}
+    assert got == pytest.approx(want, abs=1e-6)
+    node = {r.node_id: r.curvature for r in curvature.node_curvature(curvature.edge_curvature(e, 0.5)).collect()}
+    for v in node:
+        mine = [k for (a, b), k in want.items() if v in (a, b)]
+        assert node[v] == pytest.approx(sum(mine) / len(mine), abs=1e-6)
+    ring = both(*[(f"{i}", f"{(i + 1) % 7}") for i in range(7)], "03")
+    lap = np.zeros((7, 7))
+    for a, b, w in ring:
+        lap[int(a), int(b)] = -w
+    np.fill_diagonal(lap, -lap.sum(1))
+    assert spectral.fiedler_value(edges(spark, ring)).first().value == pytest.approx(np.linalg.eigvalsh(lap)[1], abs=1e-9)
+
+
+def test_replay_is_the_graph_after_each_event(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"n{a}", f"n{b}", float(w)) for a, b, w in rng.integers(0, 6, (25, 3)).tolist()]
+    df = spark.createDataFrame([("g", i, a, b, w) for i, (a, b, w) in enumerate(rows)], "graph_id string, seq bigint, src string, dst string, weight double")
+    last = {}
+    for r in live.replay(df).collect():
+        assert r.tension == pytest.approx(literal(rows[: r.seq + 1], r.node_id), abs=1e-8)
+        assert r.previous == last.get(r.node_id)
+        last[r.node_id] = r.tension
+
+
 def test_levels_go_to_the_end_of_a_chain(spark):
     far = hops.levels(edges(spark, [(f"{i:03}", f"{i + 1:03}", 1) for i in range(66)]), "000")
     assert {r.id: r.hop for r in far.collect()} == {f"{i:03}": i for i in range(67)}
