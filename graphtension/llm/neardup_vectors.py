@@ -1,7 +1,7 @@
 """Near-duplicate vectors by product quantisation: coarse lists, residual codes, table distances, exact rerank.
 
 Probes suffice for every link: vectors with cosine at least t lie within r = sqrt(2 - 2t) of each other on the unit
-sphere, so a vector probes each list that reaches within r of it. Table distances drop a pair only if the distance to
+sphere, so of two such vectors each has the other's list within r; one of them asks, and both are told. Table distances drop a pair only if the distance to
 the quantised vector, less that vector's own error, is above r. So the index loses nothing; the exact cosine decides.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import components, table
+from graphtension.llm.common import components, table, told
 from graphtension.llm.topk import _matrix, usable
 from graphtension.session import materialize
 
@@ -23,8 +23,12 @@ from graphtension.session import materialize
 SAMPLE = 20_000
 #: Residuals have SUBSPACES codes of CODES values.
 SUBSPACES, CODES, MOST_LISTS = 16, 64, 1024
+#: Centroids near a vector whose bisecting planes are tested against each list.
+PLANES = 32
 #: Members of a list that one group holds; larger lists are split, and probes go to every part.
 PART = 4096
+#: What a row in a list is: a vector of another list that asks, one of the list itself that asks, a member.
+ASKS, OWN, MEMBER = 0, 1, 2
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -54,16 +58,24 @@ class Index:
     def _far(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x * x).sum(1)[:, None] - 2 * x @ self.coarse.T + (self.coarse * self.coarse).sum(1), 0)
 
-    def lists(self, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each vector's own list, and which lists may hold something within r of it: those whose cell, by every
-        bisecting plane, begins within r."""
+    def lists(self, x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each vector's own list, and pairs (vector, list) of the other lists that it asks.
+
+        A list may hold something within r of a vector if its cell, by every bisecting plane, begins within r; the
+        planes to a vector's nearest centroids are tested. Of two vectors in different lists one alone asks the
+        other's: the sum of the lists' numbers says which, so that both kinds of lists are asked alike.
+        """
         d = self._far(x)
-        reach = np.ones(d.shape, bool)
-        for j in range(d.shape[1]):
-            reach[:, j] = (d[:, [j]] - d <= 2 * r * self.gap[j] + 1e-9).all(1)
         home = d.argmin(1)
-        reach[np.arange(len(x)), home] = True
-        return home, reach
+        ahead = home[:, None] < np.arange(d.shape[1])
+        even = (home[:, None] + np.arange(d.shape[1])) % 2 == 0
+        asks = (even == ahead) & (np.arange(d.shape[1]) != home[:, None])
+        i, j = np.nonzero(asks & (d - d.min(1, keepdims=True) <= 2 * r * self.gap[home] + 1e-9))
+        few = min(PLANES, d.shape[1])
+        for o in np.argpartition(d, few - 1, axis=1)[:, :few].T:
+            within = d[i, j] - d[i, o[i]] <= 2 * r * self.gap[j, o[i]] + 1e-9
+            i, j = i[within], j[within]
+        return home, i, j
 
     def codes(self, res: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of residuals, and each residual's distance to what its codes say."""
@@ -111,32 +123,31 @@ def link(rows: DataFrame, t: float = 0.98) -> DataFrame:
     index = Index(_unit(sample, dim), int(min(MOST_LISTS, max(1, math.sqrt(n / max(labels, 1)) / 2))))
     held = spark.sparkContext.broadcast(index)
 
-    dealt = pa.schema([("label", pa.string()), ("list", pa.int64()), ("member", pa.bool_()), ("id", pa.int64()), ("size", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    dealt = pa.schema([("label", pa.string()), ("list", pa.int64()), ("kind", pa.int8()), ("id", pa.int64()), ("size", pa.int64()), ("embedding", pa.list_(pa.float64()))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                home, reach = held.value.lists(_unit(batch.column(3), dim), r)
-                i, j = np.nonzero(reach)
-                i, j = np.concatenate([i, np.arange(len(home))]), np.concatenate([j, home])
-                member = np.arange(len(i)) >= len(i) - len(home)
-                pick = batch.take(pa.array(i))
-                yield pa.RecordBatch.from_arrays([pick.column(0), pa.array(j, pa.int64()), pa.array(member), pick.column(1), pick.column(2), pick.column(3)], schema=dealt)
-
-    kind = "label string, list bigint, member boolean, id bigint, size bigint, embedding array<double>"
-    spread = classes.select(F.col("label").cast("string").alias("label"), "id", "size", "embedding").mapInArrow(deal, kind)
-    sizes = spread.filter("member").groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+                home, i, j = held.value.lists(_unit(batch.column(3), dim), r)
+                all_ = np.arange(len(home))
+                kind = np.repeat(np.array([ASKS, OWN, MEMBER], np.int8), [len(i), len(home), len(home)])
+                pick = batch.take(pa.array(np.concatenate([i, all_, all_])))
+                yield pa.RecordBatch.from_arrays([pick.column(0), pa.array(np.concatenate([j, home, home]), pa.int64()), pa.array(kind), pick.column(1), pick.column(2), pick.column(3)], schema=dealt)
+
+    dealt_sql = "label string, list bigint, kind tinyint, id bigint, size bigint, embedding array<double>"
+    spread = classes.select(F.col("label").cast("string").alias("label"), "id", "size", "embedding").mapInArrow(deal, dealt_sql)
+    sizes = spread.filter(F.col("kind") == MEMBER).groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     spread = spread.join(sizes, ["label", "list"])
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    spread = spread.withColumn("part", F.explode(F.when(F.col("member"), F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    spread = spread.select("label", "list", "part", "member", "id", "size", "embedding").repartition("label", "list", "part").sortWithinPartitions("label", "list", "part", F.desc("member"))
+    spread = spread.withColumn("part", F.explode(F.when(F.col("kind") == MEMBER, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    spread = spread.select("label", "list", "part", "kind", "id", "size", "embedding").repartition("label", "list", "part").sortWithinPartitions("label", "list", "part", F.desc("kind"))
 
-    told = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+    found_in = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, batch in _groups(batches):
-            yield _met(held.value, int(key[1]), batch, dim, t, r, told)
+            yield _met(held.value, int(key[1]), batch, dim, t, r, found_in)
 
     found = materialize(spread.mapInArrow(meet, "id bigint, links bigint, other bigint"), "met")
     edges = found.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))
@@ -164,8 +175,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Recor
             run = batch.slice(lo, hi - lo)
             if keys[lo] != key:
                 key, members = keys[lo], []
-            is_m = np.asarray(run.column(3).to_numpy(zero_copy_only=False), bool)
-            k = int(is_m.sum())
+            k = int((np.asarray(run.column(3)) == MEMBER).sum())
             if k:
                 members.append(run.slice(0, k))
             if k < run.num_rows:
@@ -174,13 +184,15 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Recor
 
 
 def _met(index: Index, lst: int, batch: pa.RecordBatch, dim: int, t: float, r: float, schema: pa.Schema) -> pa.RecordBatch:
-    """Links of the probes with the members: each probe's number, and a forest that spans what is linked."""
-    member = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)
+    """Links of the probes with the members: the number that each has found here, and a forest that spans what is
+    linked. Two members of the list meet twice, as each asks too; the one with the smaller id counts for both."""
+    kind = np.asarray(batch.column(3))
+    member = kind == MEMBER
     ids, sizes = np.asarray(batch.column(4), np.int64), np.asarray(batch.column(5), np.int64)
     x = _unit(batch.column(6), dim)
     mine, probe = np.flatnonzero(member), np.flatnonzero(~member)
     codes, err = index.codes(x[mine] - index.coarse[lst])
-    links, up = {}, {}
+    links, up = np.zeros(len(ids), np.int64), {}
 
     def root(a: int) -> int:
         while up.setdefault(a, a) != a:
@@ -198,19 +210,19 @@ def _met(index: Index, lst: int, batch: pa.RecordBatch, dim: int, t: float, r: f
         i, j = np.nonzero(np.sqrt(np.maximum(near, 0)) - err[None, :] <= r + 1e-3)
         for a in range(0, len(i), 65_536):
             pi, mj = p[i[a : a + 65_536]], mine[j[a : a + 65_536]]
-            ok = ((x[pi] * x[mj]).sum(1) >= t) & (ids[pi] != ids[mj])
+            once = np.where(kind[pi] == OWN, ids[pi] < ids[mj], ids[pi] != ids[mj])
+            pi, mj = pi[once], mj[once]
+            ok = (x[pi] * x[mj]).sum(1) >= t
             pi, mj = pi[ok], mj[ok]
-            add = np.bincount(pi, weights=sizes[mj], minlength=len(ids)) if len(pi) else ()
-            for q in np.unique(pi).tolist():
-                links[q] = links.get(q, 0) + int(add[q])
+            np.add.at(links, pi, sizes[mj])
+            np.add.at(links, mj, sizes[pi])
             for q, w in zip(ids[pi].tolist(), ids[mj].tolist(), strict=True):
                 ra, rb = root(q), root(w)
                 if ra != rb:
                     up[max(ra, rb)] = min(ra, rb)
                     forest.append((q, w))
-    rows = [(int(ids[q]), n, None) for q, n in links.items()] + [(a, 0, b) for a, b in forest]
-    cols = zip(*rows, strict=True) if rows else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+    rows = [(int(ids[q]), int(links[q]), None) for q in np.flatnonzero(links)] + [(a, 0, b) for a, b in forest]
+    return told(rows, schema)
 
 
 def op8_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
