@@ -331,8 +331,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame
     found = materialize(sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(lean(_probe(bits)), PACKED_SQL), "anchors")
     name = F.split("sha", ":")
     about = found.filter("kind = 2").select("doc_id", name[1].cast("bigint").alias("tag"), "n_words", name[0].alias("sha"))
-    firsts = about.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha", "n_words").agg(F.min("doc_id").alias("first"))
+    # only of texts that more than one row has; written, so that the join's sides are plain shuffles that AQE can split
+    firsts = about.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window)).groupBy("sha", "n_words").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    firsts = materialize(firsts.filter("rows > 1").select("sha", "n_words", "first"), "firsts")
     about = materialize(about.join(firsts, ["sha", "n_words"], "left").select("doc_id", "tag", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("whole")), "about")
+    discard(firsts)
     partial = about.filter(~F.col("whole")).select("doc_id").distinct()
     hits = by_document(found, "<u8", parts).withColumnRenamed("vals", "hits").join(partial, "doc_id", "left_semi")
     near = docs.join(hits, "doc_id")
