@@ -383,6 +383,30 @@ def test_vector_links_are_brute_force(spark):
         assert got[i] == (len(near.get(i, ())), min(reach), min(reach) == i)
 
 
+def test_vectors_that_share_an_id_are_linked_each_by_itself(spark):
+    """Ids from a few, in turn on equal, near and far vectors, against all pairs of rows."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 6))
+    rows = [(int(rng.integers(0, 40)), (base[i % 12] + rng.normal(size=6) * 0.08 * (i % 4)).tolist(), i % 2) for i in range(140)]
+    rows += [(5, rows[0][1], 0), (5, rows[0][1], 0), (5, rows[1][1], 0), (None, rows[0][1], 0)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup_vectors.link(spark.createDataFrame(rows, VEC)).collect()]
+    x = np.array([np.array(v, np.float32).astype(float) for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None])
+    near &= np.array([r[0] is not None for r in rows])[:, None] & np.array([r[0] is not None for r in rows])[None]
+    np.fill_diagonal(near, False)
+    want = []
+    for i, (v, _, _) in enumerate(rows):
+        reach, todo = {i}, [i]
+        while todo:
+            new = set(np.flatnonzero(near[todo.pop()]).tolist()) - reach
+            reach |= new
+            todo += new
+        least = None if v is None else min(rows[j][0] for j in reach)
+        want.append((v, int(near[i].sum()), least, least == v))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_scores_of_long_vectors_are_exact(spark):
     rng = random.Random(13)
     top = (1 << 22) - 1
