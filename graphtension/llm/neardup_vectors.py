@@ -126,38 +126,38 @@ def link(rows: DataFrame, t: float = 0.98) -> DataFrame:
     index = Index(_unit(sample, dim), int(min(MOST_LISTS, max(1, math.sqrt(n / max(labels, 1)) / 2))))
     held = spark.sparkContext.broadcast(index)
 
-    dealt = pa.schema([("label", pa.string()), ("list", pa.int64()), ("kind", pa.int8()), ("id", pa.int64()), ("cls", pa.int64()), ("size", pa.int64()), ("embedding", pa.list_(pa.float64()))])
+    dealt = pa.schema([("label", pa.string()), ("list", pa.int64()), ("kind", pa.int8()), ("cls", pa.int64()), ("size", pa.int64()), ("embedding", pa.list_(pa.float64()))])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 batch = whole.slice(lo, 2048)
-                home, i, j = held.value.lists(_unit(batch.column(4), dim), r)
+                home, i, j = held.value.lists(_unit(batch.column(3), dim), r)
                 all_ = np.arange(len(home))
                 kind = np.repeat(np.array([ASKS, OWN, MEMBER], np.int8), [len(i), len(home), len(home)])
                 pick = batch.take(pa.array(np.concatenate([i, all_, all_])))
                 yield pa.RecordBatch.from_arrays([pick.column(0), pa.array(np.concatenate([j, home, home]), pa.int64()), pa.array(kind), *pick.columns[1:]], schema=dealt)
 
-    dealt_sql = "label string, list bigint, kind tinyint, id bigint, cls bigint, size bigint, embedding array<double>"
-    spread = classes.select(F.col("label").cast("string").alias("label"), "id", "cls", "size", "embedding").mapInArrow(deal, dealt_sql)
+    dealt_sql = "label string, list bigint, kind tinyint, cls bigint, size bigint, embedding array<double>"
+    spread = classes.select(F.col("label").cast("string").alias("label"), "cls", "size", "embedding").mapInArrow(deal, dealt_sql)
     sizes = spread.filter(F.col("kind") == MEMBER).groupBy("label", "list").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     spread = spread.join(sizes, ["label", "list"])
     own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     spread = spread.withColumn("part", F.explode(F.when(F.col("kind") == MEMBER, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    spread = spread.select("label", "list", "part", "kind", "id", "cls", "size", "embedding").repartition("label", "list", "part").sortWithinPartitions("label", "list", "part", F.desc("kind"))
+    spread = spread.select("label", "list", "part", "kind", "cls", "size", "embedding").repartition("label", "list", "part").sortWithinPartitions("label", "list", "part", F.desc("kind"))
 
-    found_in = pa.schema([("id", pa.int64()), ("cls", pa.int64()), ("links", pa.int64()), ("other_id", pa.int64()), ("other_cls", pa.int64())])
+    found_in = pa.schema([("cls", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, batch in _groups(batches):
             yield _met(held.value, int(key[1]), batch, dim, t, r, found_in)
 
-    found = materialize(spread.mapInArrow(meet, "id bigint, cls bigint, links bigint, other_id bigint, other_cls bigint"), "met")
-    # classes in order of their ids, so that a component's first class has its smallest id
-    edges = found.filter("other_cls is not null").select(F.struct("id", "cls").alias("a"), F.struct(F.col("other_id").alias("id"), F.col("other_cls").alias("cls")).alias("b"))
-    comp = components(edges).select(F.col("id.cls").alias("cls"), F.col("component.id").alias("component"))
+    found = materialize(spread.mapInArrow(meet, "cls bigint, links bigint, other bigint"), "met")
+    comp = components(found.filter("other is not null").select(F.col("cls").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cls")
+    # the smallest id of a component; a written table, so that AQE can split the rows of a large one in the join
+    least = materialize(comp.join(classes, "cls").groupBy("component").agg(F.min("id").alias("least")), "least")
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
-    per_class = classes.join(links, "cls", "left").join(comp, "cls", "left").select("label", "h", F.col("embedding").alias("e2"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("c"))
+    per_class = classes.join(links, "cls", "left").join(comp.join(least, "component"), "cls", "left").select("label", "h", F.col("embedding").alias("e2"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("least", "id").alias("c"))
     linked = keyed.join(per_class, (keyed.label == per_class.label) & (keyed.h == per_class.h) & (keyed.embedding == per_class.e2)).select("vec_id", "n", "c")
     rest = alone.filter(~F.col("good")).select("vec_id", F.lit(0).cast("bigint").alias("n"), F.col("vec_id").alias("c"))
     out = linked.unionByName(rest)
@@ -192,11 +192,11 @@ def _met(index: Index, lst: int, batch: pa.RecordBatch, dim: int, t: float, r: f
     linked. Two members of the list meet twice, as each asks too; the one with the smaller number counts for both."""
     kind = np.asarray(batch.column(3))
     member = kind == MEMBER
-    ids, cls, sizes = (np.asarray(batch.column(i), np.int64) for i in (4, 5, 6))
-    x = _unit(batch.column(7), dim)
+    ids, sizes = np.asarray(batch.column(4), np.int64), np.asarray(batch.column(5), np.int64)
+    x = _unit(batch.column(6), dim)
     mine, probe = np.flatnonzero(member), np.flatnonzero(~member)
     codes, err = index.codes(x[mine] - index.coarse[lst])
-    links, up = np.zeros(len(cls), np.int64), {}
+    links, up = np.zeros(len(ids), np.int64), {}
 
     def root(a: int) -> int:
         while up.setdefault(a, a) != a:
@@ -214,19 +214,18 @@ def _met(index: Index, lst: int, batch: pa.RecordBatch, dim: int, t: float, r: f
         i, j = np.nonzero(np.sqrt(np.maximum(near, 0)) - err[None, :] <= r + 1e-3)
         for a in range(0, len(i), 65_536):
             pi, mj = p[i[a : a + 65_536]], mine[j[a : a + 65_536]]
-            once = np.where(kind[pi] == OWN, cls[pi] < cls[mj], cls[pi] != cls[mj])
+            once = np.where(kind[pi] == OWN, ids[pi] < ids[mj], ids[pi] != ids[mj])
             pi, mj = pi[once], mj[once]
             ok = (x[pi] * x[mj]).sum(1) >= t
             pi, mj = pi[ok], mj[ok]
             np.add.at(links, pi, sizes[mj])
             np.add.at(links, mj, sizes[pi])
-            for q, w in zip(pi.tolist(), mj.tolist(), strict=True):
-                ra, rb = root(int(cls[q])), root(int(cls[w]))
+            for q, w in zip(ids[pi].tolist(), ids[mj].tolist(), strict=True):
+                ra, rb = root(q), root(w)
                 if ra != rb:
                     up[max(ra, rb)] = min(ra, rb)
                     forest.append((q, w))
-    rows = [(int(ids[q]), int(cls[q]), int(links[q]), None, None) for q in np.flatnonzero(links)]
-    rows += [(int(ids[q]), int(cls[q]), 0, int(ids[w]), int(cls[w])) for q, w in forest]
+    rows = [(int(ids[q]), int(links[q]), None) for q in np.flatnonzero(links)] + [(a, 0, b) for a, b in forest]
     return told(rows, schema)
 
 
