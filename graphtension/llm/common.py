@@ -266,8 +266,9 @@ def by_document(packed: DataFrame, dtype: str, parts: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that each id of the links (a, b) reaches.
 
-    Each round takes the smallest label among neighbours, then the label's own label, which doubles the reach;
-    every round is written to the shared folder. Hot ids only meet partial minima.
+    Ids are numbers, or structs in their order. Each round takes the smallest label among neighbours, then the label's
+    own label, which doubles the reach; both steps are written to the shared folder. Hot ids only meet partial minima;
+    the join on labels is between two written tables, so that AQE can split the rows that share a label.
     """
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = materialize(both, "links")
@@ -278,10 +279,11 @@ def components(edges: DataFrame) -> DataFrame:
         # a label may learn from those that carry it, so that chains fold up quickly
         up = lab.join(near, lab.id == near.a).select("id", "c", F.least("c", "m").alias("m"))
         told = up.filter("m < c").groupBy(F.col("c").alias("id")).agg(F.min("m").alias("t"))
-        step = up.join(told, "id", "left").select("id", "c", F.least("m", F.coalesce("t", "m")).alias("m"))
+        step = materialize(up.join(told, "id", "left").select("id", "c", F.least("m", F.coalesce("t", "m")).alias("m")), "stepped")
         jump = step.select(F.col("id").alias("m"), F.col("m").alias("mm"))
         nxt = step.join(jump, "m", "left").select("id", F.col("c").alias("old"), F.least("m", F.coalesce("mm", "m")).alias("c"))
         nxt = materialize(nxt, "labels")
+        discard(step)
         discard(held)
         held = nxt
         changed = nxt.filter("old <> c").limit(1).count()
