@@ -6,7 +6,7 @@ closed form over one edge. Two shuffles, generated code, no Python.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -103,25 +103,65 @@ def counterfactual(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("src").alias("node_id")).agg(F.greatest(F.sum(half("share") + half("q")), F.lit(0.0)).alias("tension"))
 
 
+#: A piece of a source's targets: at least so many, and as many as keep its element operations near the second figure;
+#: shares that are held before pieces go on.
+TARGETS, WORK, HELD = 4096, 1 << 28, 1 << 21
+
+
+def _norm(w: np.ndarray) -> np.ndarray:
+    return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+
+
 def tension_arrays(edges: DataFrame, compute: Callable) -> DataFrame:
     """The literal definition for a Python ``compute(p, q) -> float`` over whole distributions.
 
-    Only for divergences without a closed form: each edge carries its source's distribution.
+    Only for divergences without a closed form: a source with k targets costs k calls over k shares. Its distribution
+    is held once for each piece of its targets, not once for each edge, so k squared is time, never disk.
     """
-    dist = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "weight"))).alias("d"))
+    dist = edges.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dst", "weight"))).alias("d")).select("src", F.col("d.dst").alias("names"), F.col("d.weight").alias("w"))
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, held = [], 0
+            for src, names, w in zip(pdf.src, pdf.names, pdf.w, strict=True):
+                # the slots of each target: one, unless an edge is given twice
+                at = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+                end = np.r_[at[1:], len(names)]
+                step = max(TARGETS, WORK // len(names))
+                for i in range(0, len(at), step):
+                    out.append((src, names[at[i : i + step]], at[i : i + step], end[i : i + step], w))
+                    held += len(w)
+                    if held > HELD:
+                        yield pd.DataFrame(out, columns=["src", "names", "at", "end", "w"])
+                        out, held = [], 0
+            yield pd.DataFrame(out, columns=["src", "names", "at", "end", "w"])
+
+    def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for at, end, w in zip(pdf["at"], pdf["end"], pdf.w, strict=True):
+                w = np.array(w, dtype=float)
+                p = _norm(w)
+                for a, b in zip(at, end, strict=True):
+                    held = w[a:b].copy()
+                    w[a:b] = 0.0
+                    out.append(float(compute(p.copy(), _norm(w))))
+                    w[a:b] = held
+            if out:
+                yield pd.DataFrame({"node_id": np.concatenate(list(pdf.names)), "x": out})
 
     @F.pandas_udf("double")
-    def moved(node: pd.Series, names: pd.Series, weights: pd.Series) -> pd.Series:
-        out = []
-        for v, ns, ws in zip(node, names, weights, strict=True):
-            w = np.asarray(ws, dtype=float)
-            cut = np.where(np.asarray(ns, dtype=object) == v, 0.0, w)
-            norm = lambda x: x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
-            out.append(float(compute(norm(w), norm(cut))))
-        return pd.Series(out)
-
-    has = totals(edges).select(F.col("src").alias("n"))
-    pairs = edges.select(F.col("dst").alias("node_id"), F.col("src").alias("n")).union(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("n")).join(has, "n", "left_semi").select("node_id", "n")).distinct()
-    j = pairs.join(dist, pairs.n == dist.src).withColumn("x", moved("node_id", F.col("d.dst"), F.col("d.weight")))
-    ids = edges.select(F.col("src").alias("node_id")).union(edges.select("dst")).distinct()
+    def unmoved(weights: pd.Series) -> pd.Series:
+        return pd.Series([float(compute(_norm(np.array(w, dtype=float)), _norm(np.array(w, dtype=float)))) for w in weights], dtype=float)
+
+    # by number, since AQE would put pieces of few bytes and much work together
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * edges.sparkSession.sparkContext.defaultParallelism)
+    cut = dist.mapInPandas(pieces, "src string, names array<string>, at array<int>, end array<int>, w array<double>").repartition(n, "src", F.col("names")[0])
+    cut = cut.mapInPandas(moved, "node_id string, x double")
+    # neighbours that don't point back lose nothing: one call for each
+    e = edges.select("src", "dst").distinct()
+    still = e.select(F.col("src").alias("node_id"), F.col("dst").alias("n")).join(e.select(F.col("dst").alias("node_id"), F.col("src").alias("n")), ["node_id", "n"], "left_anti")
+    same = dist.join(still, dist.src == still.n, "left_semi").select(F.col("src").alias("n"), unmoved("w").alias("x"))
+    j = cut.unionByName(still.join(same, "n").select("node_id", "x"))
+    ids = e.select(F.col("src").alias("node_id")).union(e.select("dst")).distinct()
     return ids.join(j.groupBy("node_id").agg(F.avg("x").alias("t")), "node_id", "left").select("node_id", F.coalesce("t", F.lit(0.0)).alias("tension"))

@@ -229,3 +229,47 @@ def test_replay_stream_is_replay(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.seq, r.node_id): r.tension for r in spark.table("replayed").collect()} == pytest.approx(want)
+
+
+def sent_to_python(df):
+    """Bytes that the plan that ran gave to Python workers."""
+
+    def walk(plan):
+        kind = plan.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec" or kind.endswith("QueryStageExec"):
+            return walk(plan.executedPlan() if kind == "AdaptiveSparkPlanExec" else plan.plan())
+        m, below = plan.metrics().get("pythonDataSent"), plan.children()
+        return (m.get().value() if m.isDefined() else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_tension_arrays_holds_a_hub_once(spark):
+    """2000 targets at a hub: 2000 x 2000 shares, if each edge carries those of the hub."""
+    e = edges(spark, both(*[("hub", f"v{i}") for i in range(2000)]))
+    assert 0 < sent_to_python(tension.tension_arrays(e, lambda p, q: abs(p - q).sum() / 2)) < 2_000_000
+
+
+def test_tension_arrays_in_pieces(spark, monkeypatch):
+    """Pieces of two targets, edges given twice, sources without weight, edges that don't lead back."""
+    monkeypatch.setattr(tension, "TARGETS", 2)
+    monkeypatch.setattr(tension, "WORK", 1)
+    monkeypatch.setattr(tension, "HELD", 4)
+    rng = np.random.default_rng(5)
+    rows = [("abcdefg"[i], "abcdefgh"[j], float(w)) for i, j, w in zip(rng.integers(0, 7, 30), rng.integers(0, 8, 30), rng.choice([0.0, 0.5, 3.0], 30), strict=True)] + [("z", "a", 0.0), ("z", "b", 0.0)]
+    e = spark.createDataFrame(rows, "src string, dst string, weight double")
+    got = {r.node_id: r.tension for r in tension.tension_arrays(e, lambda p, q: float((np.arange(1, len(p) + 1) * abs(p - q)).sum()) + (1.0 if np.array_equal(p, q) else 0.0)).collect()}
+    out = {}
+    for a, b, w in sorted(rows):
+        out.setdefault(a, []).append((b, w))
+    norm = lambda x: x / x.sum() if x.sum() > 0 else np.full(len(x), 1 / len(x))
+    assert set(got) == {x for a, b, _ in rows for x in (a, b)}
+    for v, t in got.items():
+        near = {a for a in out if v in dict(out[a])} | {b for b, _ in out.get(v, []) if b in out}
+        each = []
+        for n in near:
+            w = np.array([x for _, x in out[n]])
+            p, q = norm(w), norm(np.where(np.array([b for b, _ in out[n]]) == v, 0.0, w))
+            each.append((np.arange(1, len(p) + 1) * abs(p - q)).sum() + np.array_equal(p, q))
+        assert t == pytest.approx(np.mean(each) if each else 0.0, abs=1e-9)
