@@ -92,19 +92,34 @@ def in_neighbors(edges: DataFrame, node: str) -> DataFrame:
     return edges.filter(F.col("dst") == node).select(F.col("src").alias("id"))
 
 
+#: Members of a group that are paired with others at once.
+BLOCK = 512
+
+
 def co_occurrence(edges: DataFrame) -> DataFrame:
     """(a, b, shared) for all pairs of sources a < b that share targets, and how many.
 
-    Targets are paired once for each group of sources with equal target sets (told by two 64-bit hashes and the
-    number), so a target that many alike sources share needs no pair expansion; then members take their group's rows.
+    Targets are paired once for each two groups of sources with equal target sets (told by two 64-bit hashes and the
+    number), so a target that many alike sources share needs no pair expansion. Then blocks of members meet, each two
+    once, so that every pair is made once and the pairs of one large group are dealt to many tasks.
     """
+    spark = edges.sparkSession
     e = edges.select("src", "dst").distinct()
     group = e.groupBy("src").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("dst")).alias("f1"), F.bit_xor(F.xxhash64("dst", F.lit(1))).alias("f2"))
-    first = group.groupBy("k", "f1", "f2").agg(F.min("src").alias("g"))
-    member = group.join(first, ["k", "f1", "f2"]).select("src", "g")
-    t = e.join(first.select(F.col("g").alias("src")), "src", "left_semi")
-    pairs = t.select(F.col("src").alias("g"), "dst").join(t.select(F.col("src").alias("h"), "dst"), "dst").groupBy("g", "h").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.join(member.select(F.col("src").alias("a"), "g"), "g").join(member.select(F.col("src").alias("b"), F.col("g").alias("h")), "h").filter("a < b").select("a", "b", "shared")
+    first = group.groupBy("k", "f1", "f2").agg(F.min("src").alias("g"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))
+    member = group.join(first, ["k", "f1", "f2"]).select("src", "g", F.pmod(F.xxhash64("src", F.lit(2)), "n").cast("int").alias("i"))
+    block = member.groupBy("g", "i").agg(F.collect_list("src").alias("vs"))
+    t = e.join(first.select(F.col("g").alias("src"), "n"), "src")
+    pairs = t.select(F.col("src").alias("g"), F.col("n").alias("gn"), "dst").join(t.select(F.col("src").alias("h"), F.col("n").alias("hn"), "dst"), "dst").filter("g <= h").groupBy("g", "h", "gn", "hn").agg(F.count(F.lit(1)).alias("shared"))
+    # within a group, block i meets those up to half the circle ahead: as many for each block
+    ahead = F.expr("CASE WHEN g < h THEN sequence(0, hn - 1) ELSE transform(sequence(0, (gn - IF(2 * i < gn, 0, 1)) DIV 2), d -> CAST(pmod(i + d, gn) AS int)) END")
+    two = pairs.withColumn("i", F.explode(F.expr("sequence(0, gn - 1)"))).withColumn("j", F.explode(ahead))
+    two = two.join(block.withColumnRenamed("vs", "us"), ["g", "i"]).select("us", "shared", "h", "j", ((F.col("g") == F.col("h")) & (F.col("i") == F.col("j"))).alias("own"))
+    # by number, since AQE would put blocks of few bytes and many pairs together
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    two = two.repartition(parts, "h", "j").join(block.select(F.col("g").alias("h"), F.col("i").alias("j"), "vs"), ["h", "j"])
+    each = two.select(F.explode("us").alias("u"), "vs", "shared", "own").select("u", F.explode("vs").alias("v"), "shared", "own").filter("NOT own OR u < v")
+    return each.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "shared")
 
 
 def upsert_nodes(nodes: DataFrame) -> DataFrame:

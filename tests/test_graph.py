@@ -273,3 +273,16 @@ def test_tension_arrays_in_pieces(spark, monkeypatch):
             p, q = norm(w), norm(np.where(np.array([b for b, _ in out[n]]) == v, 0.0, w))
             each.append((np.arange(1, len(p) + 1) * abs(p - q)).sum() + np.array_equal(p, q))
         assert t == pytest.approx(np.mean(each) if each else 0.0, abs=1e-9)
+
+
+def test_co_occurrence_deals_a_large_group(spark, monkeypatch):
+    """300 sources alike, in blocks of 16: every pair once, and no task has most of them."""
+    monkeypatch.setattr(graph, "BLOCK", 16, raising=False)
+    rows = [(f"u:{u}", t, 1) for u in range(300) for t in "xyz"] + [(f"v:{u}", t, 1) for u in range(40) for t in "zw"] + [("w", "w", 1)]
+    sets = {}
+    for a, b, _ in rows:
+        sets.setdefault(a, set()).add(b)
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    got = graph.co_occurrence(edges(spark, rows)).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.shared for r in got} == want
+    assert max(sum(r.task == k for r in got) for k in {r.task for r in got}) < 0.5 * len(got)
