@@ -300,3 +300,19 @@ def test_curvature_holds_twins_once(spark):
     """200 leaves of three hubs: 1200 edges, each with a support of some 200 nodes, are 2 pairs of classes."""
     rows = both(*[(f"u{i}", t) for i in range(200) for t in "rst"])
     assert 0 < sent_to_python(curvature.edge_curvature(edges(spark, rows), 0.5)) < 20_000
+
+
+def test_node_curvature_of_twins(spark):
+    rows = both(*[(f"u{i}", t) for i in range(60) for t in "rst"]) + [("u0", "u0", 1)]
+    c = curvature.edge_curvature(edges(spark, rows), 0.5)
+    got = curvature.node_curvature(c)
+    assert sent_to_python(got) < 20_000
+    want = {}
+    for a, b, _ in rows:
+        if a == b or "u0" in (a, b) or "u1" in (a, b):
+            want[a, b] = plain_curvature(rows, a, b, 0.5)
+    u1 = [want["u1", t] for t in "rst"] + [want[t, "u1"] for t in "rst"]
+    r = [want["u0", "r"], want["r", "u0"]] + 59 * [want["u1", "r"], want["r", "u1"]]
+    u0 = [want["u0", t] for t in "rst"] + [want[t, "u0"] for t in "rst"] + [want["u0", "u0"]]
+    mean = {x.node_id: x.curvature for x in got.collect()}
+    assert len(mean) == 63 and all(mean[v] == pytest.approx(sum(k) / len(k), abs=1e-9) for v, k in (("u1", u1), ("u59", u1), ("r", r), ("u0", u0)))
