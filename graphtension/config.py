@@ -21,7 +21,8 @@ class Config:
     ``threshold_func(node_id, tension)`` overrides the calibrator, which overrides ``threshold``.
     Realtime checks look at the overlay only unless ``realtime_scope`` is ``unified``. A stream hands the engine at
     most ``channel_size`` events at once. ``topology(nodes, edges)`` gives a frame that analyses carry. Nodes of fewer
-    than ``min_degree`` edges are never anomalies.
+    than ``min_degree`` edges are never anomalies. An event of weight 0 (or none) gets ``default_weight``; None leaves
+    it as it is.
     """
 
     divergence: Any = "jsd"
@@ -54,6 +55,7 @@ class Config:
     logger: Any = None
     realtime_scope: str = "overlay"
     callbacks: dict[str, Callable] = field(default_factory=dict)
+    default_weight: float | None = 1.0
 
     def __post_init__(self) -> None:
         if self.curvature_func is not None and self.curvature_alpha == 0:
@@ -63,6 +65,7 @@ class Config:
         rules = {
             "threshold must not be negative": self.threshold >= 0,
             "forced snapshot closing must not come before its warning": not (self.gc_snapshot_force_s > 0 and self.gc_snapshot_warning_s > 0) or self.gc_snapshot_force_s >= self.gc_snapshot_warning_s,
+            "default_weight must not be negative": self.default_weight is None or self.default_weight >= 0,
             "channel_size must be positive": self.channel_size > 0,
             "detectability_alpha must lie between 0 and 1": 0 < self.detectability_alpha < 1,
             "concealment_lambda must not be negative": self.concealment_lambda >= 0,

@@ -284,7 +284,7 @@ class Engine:
             source.checked_batch(df)
             if not self.running:
                 self.start()
-            df = source.project(source.normalize(df), self.config.weight_func)
+            df = source.project(source.normalize(df, default=self.config.default_weight), self.config.weight_func)
             df = graph.running(df, "seq", {"_pos": F.lit(1).cast("bigint")}).drop("seq")
             before = self.version
             at = before.number

@@ -27,10 +27,12 @@ def validate(events: DataFrame) -> DataFrame:
     return events.withColumn("error", event_error())
 
 
-def normalize(events: DataFrame, now: Column | None = None) -> DataFrame:
-    """Weight 0 (or none) becomes 1, a missing time becomes ``now``."""
-    w = F.coalesce(F.col("weight"), F.lit(0.0))
-    return events.withColumn("weight", F.when(w == 0, 1.0).otherwise(w)).withColumn("ts", F.coalesce("ts", now if now is not None else F.current_timestamp()))
+def normalize(events: DataFrame, now: Column | None = None, default: float | None = 1.0) -> DataFrame:
+    """Weight 0 (or none) becomes ``default``, unless that is None; a missing time becomes ``now``."""
+    if default is not None:
+        w = F.coalesce(F.col("weight"), F.lit(0.0))
+        events = events.withColumn("weight", F.when(w == 0, float(default)).otherwise(w))
+    return events.withColumn("ts", F.coalesce("ts", now if now is not None else F.current_timestamp()))
 
 
 def checked_batch(events: DataFrame) -> DataFrame:
