@@ -48,10 +48,30 @@ def words_in(col: str) -> object:
     return F.coalesce(F.regexp_count(F.col(col), F.lit(r"[^ \t\n\x0b\f\r]+")), F.lit(0)).cast("bigint")
 
 
-def lean(run: Callable) -> Callable:
-    """The same function for mapInArrow; a task that ends gives its freed memory back, since its worker lives on."""
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, held in this worker process for the next tasks of ``lean(run, name)``."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def let_go(name: str | None = None) -> None:
+    """Drop what this worker process holds for others than ``name``."""
+    for other in [k for k in _KEPT if k != name]:
+        del _KEPT[other]
+
+
+def lean(run: Callable, keeps: str | None = None) -> Callable:
+    """The same function for mapInArrow; a task that ends gives its freed memory back, since its worker lives on.
+
+    What the worker holds from other operators' tasks goes first; ``keeps`` names what this one's tasks share.
+    """
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         try:
             yield from run(batches)
         finally:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphtension.llm.common import lean, table, text_runs
+from graphtension.llm.common import kept, lean, table, text_runs
 from graphtension.session import materialize
 
 WINDOW, OPEN_WINDOWS, END_ID = 4096, 64, 2
@@ -119,14 +119,9 @@ class WordTokenizer:
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
-_HELD: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, which runs many tasks."""
-    if path not in _HELD:
-        _HELD[path] = WordTokenizer(path)
-    return _HELD[path]
+    """One for each worker process, until it turns to another operator's tasks."""
+    return kept(path, lambda: WordTokenizer(path))
 
 
 @dataclass
@@ -198,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, open_windows: in
         tok.forget()  # the worker's next task may need the memory
         yield _rows(out, schema)
 
-    told = materialize(rows.mapInArrow(lean(run), PIECE + ", part bigint"), "pieces")
+    told = materialize(rows.mapInArrow(lean(run, tokenizer), PIECE + ", part bigint"), "pieces")
     key = F.col("part") * (1 << 33) + F.col("sequence_id")
     left = told.filter("start = -1").select("part", "sequence_id", F.lit(True).alias("left"))
     pieces = told.filter("start >= 0").join(left, ["part", "sequence_id"], "left")

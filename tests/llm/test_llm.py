@@ -3,13 +3,14 @@ import math
 import random
 import re
 import unicodedata
+import weakref
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphtension.llm import chat, jaccard, language, mixing, neardup_vectors, packing, substrings, topk, toxicity, urls
+from graphtension.llm import chat, common, jaccard, language, mixing, neardup_vectors, packing, substrings, topk, toxicity, urls
 from graphtension.llm.queries import QUERIES
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -561,3 +562,16 @@ def test_empty_tables(spark):
 
 def test_ten_queries():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+
+
+def test_a_worker_holds_its_tokenizer_for_tasks_of_packing_alone():
+    """Workers outlive their tasks: a table of words that stays counts beside all later operators' memory."""
+    path = packing.tokenizer_path()
+    held = weakref.ref(packing.word_tokenizer(path))
+    assert held() is not None
+    list(common.lean(lambda batches: batches)(iter(())))
+    assert held() is None
+    held = weakref.ref(packing.word_tokenizer(path))
+    list(common.lean(lambda batches: batches, path)(iter(())))
+    assert held() is packing.word_tokenizer(path)
+    common.let_go()
